@@ -51,17 +51,20 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     low, high = min(len(b) for _, b in known) * threshold / (2 - threshold), max(len(b) for _, b in known) * (2 - threshold) / threshold
     table = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b")) for name, b in known])
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " ")).alias("line"))
+    # explode(array(x)) keeps x as a column of its own: else the optimiser would copy its expression into the lambdas below
+    # and compute it again for each element.
+    only = lambda c: F.explode(F.array(c))
+    lines = lines.select("doc_id", "line_no", only(F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " "))).alias("line"))
     # A line of w words has at most w - 1 bigrams; lines of too few words need no split into words.
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    words = lines.where(spaces >= low - 1e-9).select("doc_id", "line_no", F.split("line", " ").alias("w"))
-    made = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
-    # Sets may be smaller than the line is long, so the upper bound is on distinct bigrams: of words first, as each needs its own.
-    few = words.where(F.size(F.array_distinct("w")) <= high + 2).select("doc_id", "line_no", made.alias("b")).where(F.size("b").between(low - 1e-9, high + 1e-9))
+    words = lines.where(spaces >= low - 1e-9).select("doc_id", "line_no", only(F.split("line", " ")).alias("w"))
+    made = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda x, y: F.concat_ws(" ", x, y)))
+    # Repeated words may keep a long line's set small, so the upper bound is on distinct words, of which b bigrams have at most b + 1.
+    few = words.where(F.size(F.array_distinct("w")) <= high + 1).select("doc_id", "line_no", only(made).alias("b")).where(F.size("b").between(low - 1e-9, high + 1e-9))
     fits = lambda t: (F.size("b") >= F.size(t["b"]) * (threshold / (2 - threshold)) - 1e-9) & (F.size("b") <= F.size(t["b"]) * ((2 - threshold) / threshold) + 1e-9)
     dice = lambda t: F.round(2.0 * F.size(F.array_intersect("b", t["b"])) / (F.size("b") + F.size(t["b"])), 6)
-    scored = F.transform(F.filter(table, fits), lambda t: F.struct(t["license"].alias("license"), dice(t).alias("dice")))
-    hits = few.select("doc_id", "line_no", F.explode(F.filter(scored, lambda s: s["dice"] >= threshold)).alias("s"))
+    near = few.select("doc_id", "line_no", "b", F.explode(F.filter(table, fits)).alias("t"))
+    hits = near.select("doc_id", "line_no", F.struct(F.col("t.license").alias("license"), dice(F.col("t")).alias("dice")).alias("s")).where(F.col("s.dice") >= threshold)
     best = hits.groupBy("doc_id", F.col("s.license").alias("license"), "line_no").agg(F.max("s.dice").alias("dice"), F.count("*").alias("n"))
     return best.groupBy("doc_id", "license").agg(F.count("*").alias("n_lines"), F.max(F.struct("dice", (-F.col("line_no")).alias("at"))).alias("m")).select("doc_id", "license", "n_lines", (-F.col("m.at")).cast("long").alias("line_no"), F.col("m.dice").alias("dice"))
 
@@ -76,10 +79,12 @@ def oracle() -> str:
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
 WITH template AS (SELECT t, license, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM (VALUES {rows}) v(t, license, x)),
-tb AS (SELECT t, license, {grams} AS b FROM template),
+tb AS MATERIALIZED (SELECT t, license, {grams} AS b FROM template),
 line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
-lw AS (SELECT doc_id, line_no, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM line),
-lb AS (SELECT doc_id, line_no, {grams} AS b FROM lw WHERE len(list_distinct(w)) BETWEEN 2 AND 80),
-hit AS (SELECT doc_id, license, line_no, max(round(2.0 * len(list_intersect(lb.b, tb.b)) / (len(lb.b) + len(tb.b)), 6)) AS dice FROM lb, tb
-        WHERE len(lb.b) BETWEEN len(tb.b) * {THRESHOLD / (2 - THRESHOLD)} - 1e-9 AND len(tb.b) * {(2 - THRESHOLD) / THRESHOLD} + 1e-9 GROUP BY ALL HAVING dice >= {THRESHOLD})
+lw AS MATERIALIZED (SELECT doc_id, line_no, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM line),
+lb AS MATERIALIZED (SELECT doc_id, line_no, {grams} AS b FROM lw WHERE len(w) >= 2),
+lg AS (SELECT doc_id, line_no, len(b) AS n, unnest(b) AS g FROM lb),
+tg AS (SELECT t, license, len(b) AS m, unnest(b) AS g FROM tb),
+pair AS (SELECT doc_id, line_no, license, t, round(2.0 * count(*) / (any_value(n) + any_value(m)), 6) AS dice FROM lg JOIN tg USING (g) GROUP BY doc_id, line_no, license, t),
+hit AS (SELECT doc_id, license, line_no, max(dice) AS dice FROM pair WHERE dice >= {THRESHOLD} GROUP BY ALL)
 SELECT doc_id, license, count(*) AS n_lines, arg_max(line_no, dice * 1e9 - line_no * 1e-3) AS line_no, max(dice) AS dice FROM hit GROUP BY doc_id, license"""
