@@ -54,6 +54,7 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
     for df in frames:
         path = spark._jvm.org.apache.hadoop.fs.Path(df._fabula_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()  # Spark's cleaner deletes shuffle files of plans that are no longer referenced
 
 
 def small_or_shuffled(ids: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Words, clean, components, forget, mix, shingles, slices, small_or_shuffled, written
 
 WINDOW, MIN_WORDS, THRESHOLD, RECALL = 24, 18, 0.8, 0.95
-UNITS = "doc_id long, crc int, idx int, start long, end long, words int, fp long, bands array<long>"
+UNITS = "doc_id long, crc int, idx int, start int, size int, words int, fp long, bands array<long>"
 
 
 def choose_bands(threshold: float, rows: int, recall: float) -> int:
@@ -111,48 +111,58 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
                 if p is not None:
                     text, index, start, end, words, fp, keys = p[:7]
                     sums = np.array([crc(t) for t in texts[i:j]], dtype=np.int32)
-                    yield pd.DataFrame({"doc_id": ids[i:j][text], "crc": sums[text], "idx": index.astype(np.int32), "start": start, "end": end, "words": words.astype(np.int32), "fp": fp, "bands": list(keys)})
+                    yield pd.DataFrame({"doc_id": ids[i:j][text], "crc": sums[text], "idx": index.astype(np.int32), "start": start.astype(np.int32), "size": (end - start).astype(np.int32), "words": words.astype(np.int32), "fp": fp, "bands": list(keys)})
 
     def sets(batches):
         import pandas as pd
 
         for batch in batches:
-            ids, texts = batch["doc_id"].to_numpy(), clean(batch["text"])
+            ids, texts, asked = batch["doc_id"].to_numpy(), clean(batch["text"]), [set(x.tolist()) for x in batch["fps"]]
             for i, j in slices(texts):
                 p = paragraphs(texts[i:j], 1)
                 if p is not None:
-                    found, offset = p[7].astype(np.int64), p[8]
-                    yield pd.DataFrame({"doc_id": ids[i:j][p[0]], "fp": p[5], "shingles": [found[offset[k] : offset[k + 1]] for k in range(len(p[0]))]})
+                    text, fp, found, offset = p[0], p[5], p[7].astype(np.int64), p[8]
+                    rows = [(f, found[offset[k] : offset[k + 1]]) for k, (t, f) in enumerate(zip(text.tolist(), fp.tolist(), strict=True)) if f in asked[i + t]]
+                    yield pd.DataFrame(rows, columns=["fp", "s"])
 
     units = written(spark, docs.mapInPandas(cut, UNITS))
-    keyed = units.select("doc_id", "crc", "idx", "start", "end", "words", "fp", F.explode("bands").alias("key"))
-    keys = keyed.groupBy("key").agg(F.min("fp").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keys = units.select("fp", F.explode("bands").alias("key")).groupBy("key").agg(F.min("fp").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     keys = written(spark, keys)
-    hits = written(spark, keyed.join(keys, "key").drop("key"))
-    pairs = written(spark, hits.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct())
-    forget(spark, units, keys)
-    hits_once = hits.drop("leader").dropDuplicates(["doc_id", "crc", "idx"])  # a paragraph has a row for each band
-    if not pairs.isEmpty():
+    # The first band brings the paragraphs' places, the others only pairs: equal paragraphs share all bands.
+    place = ["doc_id", "crc", "idx", "start", "size", "words", "fp"]
+    hits = written(spark, units.select(*place, F.col("bands")[0].alias("key")).join(keys, "key").drop("key"))
+    pairs = hits.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b"))
+    if bands > 1:
+        others = units.select("fp", F.explode(F.slice("bands", 2, bands - 1)).alias("key")).join(keys, "key").where("fp <> leader")
+        pairs = pairs.unionByName(others.select(F.col("leader").alias("a"), F.col("fp").alias("b")))
+    pairs = written(spark, pairs.distinct())
+    forget(spark, keys)
+    hits = hits.drop("leader")
+    if pairs.isEmpty():
+        hits = hits.withColumn("class", F.col("fp"))
+    else:
         # A document that holds each paragraph of a pair; its sets are made again from the text.
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        wanted = written(spark, wanted.join(hits.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fp"))
-        ids = written(spark, wanted.select("doc_id").distinct())
-        made = docs.join(small_or_shuffled(ids), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, fp long, shingles array<long>")
-        made = written(spark, made.join(wanted, ["doc_id", "fp"], "left_semi").groupBy("fp").agg(F.first("shingles").alias("s")))
+        near = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+        wanted = units.select("fp", "doc_id").join(small_or_shuffled(near), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+        wanted = written(spark, wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")))  # at most a document's own
+        made = docs.join(small_or_shuffled(wanted), "doc_id").select("doc_id", "text", "fps").mapInPandas(sets, "fp long, s array<long>")
+        made = written(spark, made.groupBy("fp").agg(F.first("s").alias("s")))
         both = pairs.join(made.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         edges = both.where(common >= F.lit(threshold) * F.size(F.array_union("sa", "sb"))).select("a", "b")
         roots = written(spark, components(spark, edges).select(F.col("node").alias("fp"), "root"))
-        forget(spark, wanted, ids, made)
-        hits_once = hits_once.join(roots, "fp", "left").withColumn("class", F.coalesce("root", "fp")).drop("root")
-    else:
-        hits_once = hits_once.withColumn("class", F.col("fp"))
-    hits_once = written(spark, hits_once.select("doc_id", "crc", "idx", "start", "end", "words", "class"))
-    classes = written(spark, hits_once.groupBy("class").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("far")).where("home <> far").drop("far"))
-    out = hits_once.join(classes, "class").where("doc_id <> home")
-    item = F.struct("idx", "start", "end", "words", "class")
+        # Paragraphs that only another band found; those that the first found too are there twice, which the fold passes over.
+        extra = units.select(*place).join(small_or_shuffled(roots), "fp").withColumn("class", F.col("root")).drop("root")
+        known = hits.join(small_or_shuffled(roots), "fp", "left").withColumn("class", F.coalesce("root", "fp")).drop("root")
+        hits = known.unionByName(extra)
+        forget(spark, near, wanted, made)
+    hits = written(spark, hits.drop("fp"))
+    forget(spark, units, pairs)
+    classes = written(spark, hits.groupBy("class").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("far")).where("home <> far").drop("far"))
+    out = hits.join(classes, "class").where("doc_id <> home").withColumn("end", F.col("start") + F.col("size"))
+    item = F.struct("idx", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "words", "class")
     # Bounded by the document's own length.
-    grouped = out.groupBy("doc_id", "crc").agg(F.sort_array(F.collect_list(item)).alias("u"))
+    grouped = out.groupBy("doc_id", "crc").agg(F.sort_array(F.collect_set(item)).alias("u"))
     # Runs of neighbouring paragraphs, as a fold; the last run is open until the end.
     zero = F.expr("named_struct('done', cast(array() as array<struct<start:bigint,end:bigint,words:bigint,classes:array<bigint>>>), 'at', cast(-2 as int), 'run', cast(null as struct<start:bigint,end:bigint,words:bigint,classes:array<bigint>>))")
 
@@ -167,7 +177,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     runs = F.aggregate("u", zero, step, lambda acc: F.array_append(acc["done"], acc["run"]))
     spans = grouped.select("doc_id", "crc", F.filter(runs, lambda r: r["words"] >= min_words).alias("spans")).where("size(spans) > 0")
     spans = written(spark, spans)
-    forget(spark, hits, pairs, hits_once, classes)
+    forget(spark, hits, classes)
     return spans
 
 
