@@ -1,9 +1,15 @@
 """Registered queries over the driver's tables, with their SQL twins."""
 
+from __future__ import annotations
+
 
 def queries() -> dict:
-    return {}
+    from . import graph
+
+    return dict(graph.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import graph
+
+    return dict(graph.SQL)
