@@ -30,15 +30,17 @@ def normalize_name(name: Column) -> Column:
     return F.replace(F.lower(F.trim(single)), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
-def normalize_exact(names):
+def normalize_exact(name: Column | str) -> Column:
     """The same with NFKC and full case folding, in Arrow batches."""
     table = str.maketrans({**dict.fromkeys(DASHES, "-"), "’": "'"})
 
     def one(x):
         return " ".join(unicodedata.normalize("NFKC", x).translate(table).split()).casefold()
 
-    return names.map(one, na_action="ignore")
+    def keys(names):
+        return names.map(one, na_action="ignore")
+
+    return F.pandas_udf(keys, "string")(name)
 
 
 def strip_title(key: Column) -> Column:
