@@ -11,7 +11,7 @@ together (Spark keeps k of each group before the shuffle).
 
 Defined results: vectors that are null, empty, of another length than most (the longest), or that hold null or
 non-finite components take no part; ties go to the smaller vec_id; a row is not its own candidate, other rows that
-repeat its vec_id are not either. With fewer candidates than k all are returned. Products are 64-bit integers.
+repeat its vec_id are not either. A query is asked once for each vec_id (with the smallest vector, if rows differ). With fewer candidates than k all are returned. Products are 64-bit integers.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def search(rows: DataFrame, queries: Column, k: int = K, scale: float = 64.0, bl
     # A slot for each partition of the packed rows; a query block has a copy in every slot.
     left = written(spark, blocks(good.select("vec_id", "x"), block).withColumn("slot", F.spark_partition_id()))
     slots = left.select(F.col("slot").alias("slot")).distinct()
-    right = written(spark, blocks(good.where("asked").select("vec_id", "x"), query_block).select(F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.lit(1).alias("one")))
+    right = written(spark, blocks(good.where("asked").groupBy("vec_id").agg(F.min("x").alias("x")), query_block).select(F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.lit(1).alias("one")))
     asked = written(spark, right.join(slots.withColumn("one", F.lit(1)), "one").drop("one"))
     pairs = left.join(asked, "slot").select("ids", "x", "q_ids", "q")
 

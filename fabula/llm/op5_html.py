@@ -124,8 +124,10 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def main_text(html: str | None) -> str:
-    p = Lines()
-    p.feed(html or "")
+    p, html = Lines(), html or ""
+    if (at := html.rfind("<")) > html.rfind(">") and html[at + 1 : at + 2].isalpha():
+        html = html[:at]  # a tag that never ends is no text
+    p.feed(html)
     p.close()
     p.line()
     lines = [(" ".join("".join(parts).split()), tags, region, bad) for parts, tags, region, bad in p.lines]
