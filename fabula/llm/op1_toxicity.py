@@ -206,7 +206,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = train(*training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     model = spark.sparkContext.broadcast(pack(chain))
 
-    def judge(text: pd.Series) -> pd.Series:
+    def judge(text):
         own, texts = unpack(model.value), clean(text)
         out = np.zeros(len(texts), dtype=bool)
         for i, j in slices(texts):
