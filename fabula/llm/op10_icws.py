@@ -5,9 +5,12 @@ words, idf = 1 + ln((1 + N) / (1 + df)). Document frequencies are counted over a
 words, so what is gathered has a fixed size. ICWS draws ``BANDS * ROWS`` samples of each distinct text; texts that
 share a band are compared by exact weighted Jaccard similarity, and the verified pairs' components are the classes.
 
-Within a bucket of up to ``SMALL`` texts all are compared. In a larger one all are compared with the bucket's first
-text; those that are not similar to it form the next round's bucket, with ``SMALL`` four times as large, until none
-is left. So a large group of copies costs one comparison a text; no bucket is dropped, capped or sampled.
+Within a bucket of up to ``SMALL`` texts all are compared. In a larger one all are compared with the bucket's leader
+(of its texts the one whose buckets hold the most texts together); those that are not similar to it form the next
+round's buckets, with ``SMALL`` eight times as large, until none is left. These are split by classes of total weight
+(similar texts have weights within a factor of 1 / threshold, so each text joins its own class and the next one, and
+no similar pair is lost). So a large group of copies costs one comparison a text; no bucket is dropped, capped or
+sampled.
 With 16 bands of 4 samples a pair of similarity 0.8 shares a band with probability 0.9998.
 
 Defined results: a null text is an empty text. Equal texts are always one class (found by a 64-bit text hash), so all
@@ -129,6 +132,14 @@ def band_keys(found: np.ndarray, weight: np.ndarray, at: np.ndarray, bands: int,
     return [k if n else [] for k, n in zip(key.astype(np.int64).tolist(), np.diff(at), strict=True)]
 
 
+def weight_classes(weight: np.ndarray, at: np.ndarray, threshold: float) -> np.ndarray:
+    """Total weights on a scale on which sets of at least that similarity differ by one class at most; empty sets: 0."""
+    total = np.concatenate([[0.0], np.cumsum(weight)])
+    total = total[at[1:]] - total[at[:-1]]
+    step = np.log((1.0 + 1e-5) / threshold)
+    return np.floor(np.log(np.maximum(total, 1e-3)) / step).astype(np.int32)
+
+
 def weighted_jaccard(a: tuple, b: tuple) -> float:
     """Of two sorted weighted sets."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -151,7 +162,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             keys, texts = batch["doc_id"].tolist(), clean(batch["text"])
             for i, j in slices(texts):
                 found, weight, at = weighted_sets(texts[i:j], idf)
-                yield pd.DataFrame({"doc_id": keys[i:j], "tid": [text_hash(t) for t in texts[i:j]], "bands": band_keys(found, weight, at, bands, rows)})
+                yield pd.DataFrame({"doc_id": keys[i:j], "tid": [text_hash(t) for t in texts[i:j]], "weight": weight_classes(weight, at, threshold), "bands": band_keys(found, weight, at, bands, rows)})
 
     def load(batches):
         import pandas as pd
@@ -175,17 +186,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
                     ok[k] = weighted_jaccard(part(a[k]), part(b[k])) >= threshold - 1e-9
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "ok": ok})
 
-    signed = written(spark, docs.mapInPandas(sign, "doc_id long, tid long, bands array<long>"))
-    texts = written(spark, signed.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    live = written(spark, texts.select(F.explode("bands").alias("key"), "tid"))
+    signed = written(spark, docs.mapInPandas(sign, "doc_id long, tid long, weight int, bands array<long>"))
+    texts = written(spark, signed.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
+    spread = written(spark, texts.select(F.explode("bands").alias("key"), "tid", "weight"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    held = written(spark, spread.join(shared, "key"))
+    # The text whose buckets are fullest is the nearest to a group's centre: as leader it leaves the fewest over.
+    live = written(spark, held.join(held.groupBy("tid").agg(F.sum("n").alias("score")), "tid").select("key", "tid", "weight", "score"))
+    forget(spark, spread, held)
     edges, small = None, SMALL
     while True:
-        keys = written(spark, live.groupBy("key").agg(F.min("tid").alias("leader"), F.count("*").alias("n")).where("n > 1"))
+        keys = live.groupBy("key").agg(F.max(F.struct("score", "tid")).alias("top"), F.count("*").alias("n")).where("n > 1")
+        keys = written(spark, keys.select("key", F.col("top.tid").alias("leader"), "n"))
         if keys.isEmpty():
             forget(spark, live, keys)
             break
         held = written(spark, live.join(keys, "key"))
-        star = held.where((F.col("n") > small) & (F.col("tid") != F.col("leader"))).select("key", F.col("leader").alias("a"), F.col("tid").alias("b"))
+        star = held.where((F.col("n") > small) & (F.col("tid") != F.col("leader"))).select("key", F.col("leader").alias("a"), F.col("tid").alias("b"), "weight", "score")
         group = held.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("tid")).alias("t"))  # at most 'small' long
         group = group.select(F.explode("t").alias("a"), "t").select("a", F.explode("t").alias("b")).where("a < b")
         pairs = written(spark, star.select("a", "b").unionByName(group).distinct())
@@ -196,9 +213,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         verdict = written(spark, both.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long, ok boolean"))
         yes = written(spark, verdict.where("ok").select("a", "b"))
         edges = yes if edges is None else edges.unionByName(yes)
-        rest = written(spark, star.join(verdict.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("b").alias("tid")))
+        rest = star.join(verdict.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("b").alias("tid"), "weight", "score")
+        if small == SMALL:
+            classes = F.explode(F.array("weight", F.col("weight") + 1))
+            rest = rest.withColumn("class", classes).select(F.xxhash64("key", "class").alias("key"), "tid", "weight", "score")
+        rest = written(spark, rest)
         forget(spark, live, keys, held, pairs, ids, have, verdict)
-        live, small = rest, small * 4
+        live, small = rest, small * 8
     named = texts.select("tid", "first", "n")
     if edges is not None:
         roots = written(spark, components(spark, edges).select(F.col("node").alias("tid"), "root"))
