@@ -1,38 +1,35 @@
-"""Operator 8: passages that documents share, by MinHash banding of paragraphs.
+"""Operator 8: passages of over 50 words that documents share, by exact seeds that are extended over edits.
 
-Paragraphs are cut where the content says so: at every word whose hash (with the next word's) is the smallest of some
-``WINDOW`` words in a row. Two documents that share a passage so share the paragraphs inside it, wherever it stands in
-a line, and a shared run of 2 * WINDOW + 1 words holds at least one. Each paragraph has one-row bands over its
-five-word shingles (``choose_bands``: as many as the wanted recall at the threshold needs). Paragraphs that share a
-band are joined with the smallest paragraph of the band; equal ones need no check, others are verified by exact
-Jaccard similarity; components of verified pairs are classes. A class that several documents hold stays in its
-smallest doc_id; elsewhere a run of such paragraphs of ``MIN_WORDS`` words or more is removed. A passage of over 50
-words is so found by its inner paragraphs, short common lines are left alone.
+Each text of over 50 words gives the hashes of some of its runs of ``SEED`` words, those that are the smallest of some
+``SPREAD`` runs in a row (winnowing): two texts with ``SEED + SPREAD - 1`` = 25 words in a row in common share a seed.
+Passages of over 50 words whose five-word shingles, counted by place, have a Jaccard similarity of 0.8 always have such
+a run (one edit costs up to 5 shingles, so there is at most one in some 45 words). Documents that share a seed, or two
+seeds in a row, meet the smallest document that holds the same. In each such pair of texts all common runs of ``SEED``
+words are extended word by word on both sides, over edits of up to ``GAP`` words; the longest stretches of the result
+that pass the similarity and the length are passages, and the later document loses them whole.
+
+Not exact: a passage is missed if the smallest holder of each of its seeds, and of each two seeds in a row, holds the
+seeds but not the passage.
 
 Defined results: a null text is an empty text and stays as it is (null). Documents without a removal keep their text to
 the byte. Repeats within one document stay. Rows that share a doc_id count as one document. An empty table gives an
 empty table. Other columns stay as they are in ``remove``; clashing names do not matter, as ``documents`` is joined by
-doc_id and a hash of the text under names of our own.
+doc_id and a hash of the text under names of our own. ``classes`` are the seeds of a passage that both documents hold.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, clean, components, forget, mix, shingles, slices, small_or_shuffled, written
-
-WINDOW, MIN_WORDS, THRESHOLD, RECALL = 24, 18, 0.8, 0.95
-UNITS = "doc_id long, crc int, idx int, start int, size int, words int, fp long, bands array<long>"
-
+from .common import SHINGLE, Words, clean, forget, mix, shingles, slices, small_or_shuffled, written
 
-def choose_bands(threshold: float, rows: int, recall: float) -> int:
-    """The fewest bands that find a pair at the threshold with this probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
+WINDOW, MIN_WORDS, THRESHOLD = 24, 51, 0.8
+SEED, SPREAD, GAP = 12, 14, 16
+SPAN = "array<struct<start:bigint,end:bigint,words:bigint,classes:array<bigint>>>"
 
 
 def rolling_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -45,6 +42,17 @@ def rolling_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def picked(value: np.ndarray, text: np.ndarray, texts: int, width: int) -> np.ndarray:
+    """Which values are the smallest of some ``width`` in a row in their text; the greatest number is never picked."""
+    top = np.uint64(2**64 - 1)
+    place = np.arange(len(value)) + (text + 1) * width  # room between texts, so that no window sees two
+    padded = np.full(len(value) + (texts + 1) * width, top)
+    padded[place] = value
+    low = rolling_min(padded, width)
+    widest = np.iinfo(np.uint64).max - rolling_min(np.iinfo(np.uint64).max - low, width)  # greatest minimum of the windows over a word
+    return (widest[place - width + 1] == value) & (value != top)
+
+
 def segments(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """First word of each paragraph and the text that it is in; a text's first word always begins one."""
     n = np.diff(w.offset)
@@ -56,12 +64,7 @@ def segments(w: Words) -> tuple[np.ndarray, np.ndarray]:
     following = np.append(w.hash[1:], np.uint64(0))
     value = mix(w.hash * np.uint64(0x9E3779B97F4A7C15) + following) >> np.uint64(1)
     value[w.offset[1:][n > 0] - 1] = top  # what follows a last word is another text
-    place = np.arange(len(value)) + (text + 1) * WINDOW  # room between texts, so that no window sees two
-    padded = np.full(len(value) + (texts + 1) * WINDOW, top)
-    padded[place] = value
-    low = rolling_min(padded, WINDOW)
-    widest = np.iinfo(np.uint64).max - rolling_min(np.iinfo(np.uint64).max - low, WINDOW)  # greatest minimum of the windows over a word
-    anchor = (widest[place - WINDOW + 1] == value) & (value != top)
+    anchor = picked(value, text, texts, WINDOW)
     anchor[w.offset[:-1][n > 0]] = True
     first = np.flatnonzero(anchor)
     return first, text[first]
@@ -95,10 +98,135 @@ def crc(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) - 2**31
 
 
-def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans to remove: doc_id, crc (of the text), spans array<struct<start, end (bytes), words, class>>. A written table."""
+def seeds(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of SEED words, offsets by text, and which of them are seeds; texts under ``min_words`` have none."""
+    found, offset = shingles(w.hash, w.offset, SEED)
+    if not len(found):
+        return found, offset, np.zeros(0, dtype=bool)
+    text = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
+    return found, offset, picked(found >> np.uint64(1), text, len(offset) - 1, SPREAD) & (np.diff(w.offset) >= min_words)[text]
+
+
+def common_run(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first words of two word arrays are equal."""
+    at, step, n = 0, 64, min(len(a), len(b))
+    while at < n:
+        end = min(n, at + step)
+        other = a[at:end] != b[at:end]
+        if other.any():
+            return at + int(other.argmax())
+        at, step = end, step * 2
+    return n
+
+
+def resume(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+    """Words of a and b to pass over until both go on alike; the larger the edit, the longer the run that it takes."""
+    eq = a[: GAP + 5, None] == b[None, : GAP + 5]
+    if not eq.any():
+        return None
+    run = eq.astype(np.int64)
+    for _ in range(4):  # lengths of runs, up to 5
+        run[:-1, :-1] = eq[:-1, :-1] * np.minimum(1 + run[1:, 1:], 5)
+    run = run[: GAP + 1, : GAP + 1]
+    i, j = np.indices(run.shape)
+    size = np.maximum(i, j)
+    need = np.where((i == 1) & (j == 1), 1, np.where(size <= 2, 2, 4))
+    worth = np.where(run >= need, 4 * run - i - j, -1000)
+    k = int(worth.argmax())
+    return (int(i.flat[k]), int(j.flat[k])) if worth.flat[k] > -1000 else None
+
+
+def passages(d: np.ndarray, h: np.ndarray, kd: np.ndarray, kh: np.ndarray, threshold: float, min_words: int) -> list[tuple[int, int, int, int]]:
+    """(first, end in d, first, end in h) of the passages of word arrays d and h, whose runs of SEED words hash to kd and kh.
+
+    A similarity of t means (1 + t) * common >= t * (shingles of both), a sum over equal runs and the edits between.
+    """
+    gain = lambda n: (1 + threshold) * max(0, n - SHINGLE + 1) - 2 * threshold * n
+    slack = 2 * threshold * (SHINGLE - 1) + 1e-9
+    order = np.argsort(kh, kind="stable")
+    known = kh[order]
+    low, high = np.searchsorted(known, kd), np.searchsorted(known, kd, "right")
+    out: list[tuple[int, int, int, int]] = []
+    tried: dict[int, int] = {}  # by diagonal: where the last run that was looked at ends in d
+    covered = np.zeros(len(d), dtype=bool)
+
+    def side(a, b, most):
+        """Runs that follow, as (words passed over in a, in b, equal words)."""
+        steps, p, q, now, best = [], 0, 0, 0.0, 0.0
+        while now > best - most and (edit := resume(a[p:], b[q:])):
+            x, y = edit
+            n = common_run(a[p + x :], b[q + y :])
+            steps.append((x, y, n))
+            p, q = p + x + n, q + y + n
+            now += gain(n) - threshold * (x + y)
+            best = max(best, now)
+        return steps
+
+    def best_parts(chain):
+        """Longest stretches of runs (i, j, n) that pass, and those before and after them."""
+        total = np.zeros(len(chain) + 1)
+        for k, (i, j, n) in enumerate(chain):
+            edit = (i - chain[k - 1][0] - chain[k - 1][2] + j - chain[k - 1][1] - chain[k - 1][2]) if k else 0
+            total[k + 1] = total[k] + gain(n) - threshold * edit
+        start = total[:-1].copy()
+        for k in range(1, len(chain)):  # a stretch does not pay for the edit before it
+            start[k] = total[k + 1] - gain(chain[k][2])
+        best = None
+        for k in range(len(chain)):
+            ok = np.flatnonzero(total[k + 1 :] - start[k] + slack >= 0)
+            if len(ok):
+                e = k + int(ok[-1])
+                words = min(chain[e][0] + chain[e][2] - chain[k][0], chain[e][1] + chain[e][2] - chain[k][1])
+                if words >= min_words and (best is None or words > best[0]):
+                    best = words, k, e
+        if best is None:
+            return
+        _, s, e = best
+        size = lambda s, e: min(chain[e][0] + chain[e][2] - chain[s][0], chain[e][1] + chain[e][2] - chain[s][1])
+        # One or two words that are equal by chance do not make a passage longer than it must be.
+        passes = lambda s, e: size(s, e) >= min_words and total[e + 1] - start[s] + slack >= 0
+        while s < e and chain[e][2] < 3 and passes(s, e - 1):
+            e -= 1
+        while s < e and chain[s][2] < 3 and passes(s + 1, e):
+            s += 1
+        out.append((chain[s][0], chain[e][0] + chain[e][2], chain[s][1], chain[e][1] + chain[e][2]))
+        covered[chain[s][0] : chain[e][0] + chain[e][2]] = True
+        best_parts(chain[:s])
+        best_parts(chain[e + 1 :])
+
+    for i in np.flatnonzero(high > low).tolist():
+        if covered[i] and covered[i + SEED - 1]:
+            continue
+        for j in order[low[i] : high[i]].tolist():
+            if i < tried.get(i - j, 0):
+                continue
+            before = common_run(d[:i][::-1], h[:j][::-1])
+            n = before + common_run(d[i:], h[j:])
+            i0, j0 = i - before, j - before
+            most = 150 * threshold + n
+            left = side(d[:i0][::-1], h[:j0][::-1], most)
+            right = side(d[i0 + n :], h[j0 + n :], most + sum(x[2] for x in left))
+            chain, p, q = [(i0, j0, n)], i0, j0
+            for x, y, m in left:
+                p, q = p - x - m, q - y - m
+                chain.insert(0, (p, q, m))
+            p, q = i0 + n, j0 + n
+            for x, y, m in right:
+                chain.append((p + x, q + y, m))
+                p, q = p + x + m, q + y + m
+            for a, b, m in chain:
+                tried[a - b] = max(tried.get(a - b, 0), a + m)
+            best_parts(chain)
+            if covered[i] and covered[i + SEED - 1]:
+                break
+    return out
+
+
+def repeated(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Spans to remove: doc_id, crc (of the text), spans array<struct<start, end (bytes), words, classes>>. A written table."""
+    if threshold < THRESHOLD or min_words < MIN_WORDS:
+        raise ValueError(f"seeds find passages of {MIN_WORDS} words or more at a similarity of {THRESHOLD} or more")
     spark = docs.sparkSession
-    bands = choose_bands(threshold, 1, recall)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
     def cut(batches):
@@ -107,77 +235,72 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         for batch in batches:
             ids, texts = batch["doc_id"].to_numpy(), clean(batch["text"])
             for i, j in slices(texts):
-                p = paragraphs(texts[i:j], bands)
-                if p is not None:
-                    text, index, start, end, words, fp, keys = p[:7]
-                    sums = np.array([crc(t) for t in texts[i:j]], dtype=np.int32)
-                    yield pd.DataFrame({"doc_id": ids[i:j][text], "crc": sums[text], "idx": index.astype(np.int32), "start": start.astype(np.int32), "size": (end - start).astype(np.int32), "words": words.astype(np.int32), "fp": fp, "bands": list(keys)})
+                found, offset, mark = seeds(Words(texts[i:j], ascii_only=True), min_words)
+                at = np.flatnonzero(mark)
+                text = np.searchsorted(offset, at, "right") - 1
+                fp = found[at].astype(np.int64)
+                after = np.append(np.where(text[1:] == text[:-1], fp[1:], 0), np.zeros(min(1, len(fp)), dtype=np.int64))
+                yield pd.DataFrame({"doc_id": ids[i:j][text], "fp": fp, "after": after})
+
+    def compare(batches):
+        import pandas as pd
 
-    def sets(batches):
+        for batch in batches:
+            ids, texts, homes = batch["doc_id"].tolist(), clean(batch["text"]), clean(batch["home_text"])
+            for i, j in slices([x + y for x, y in zip(texts, homes, strict=True)]):
+                distinct = {t: k for k, t in enumerate(dict.fromkeys(texts[i:j] + homes[i:j]))}
+                w = Words(list(distinct), ascii_only=True)
+                found, offset, mark = seeds(w, min_words)
+                rows = []
+                for k in range(i, j):
+                    x, y = distinct[texts[k]], distinct[homes[k]]
+                    n, m = w.offset[x + 1] - w.offset[x], w.offset[y + 1] - w.offset[y]
+                    if min(n, m) < min_words:
+                        continue
+                    kd, kh = found[offset[x] : offset[x + 1]], found[offset[y] : offset[y + 1]]
+                    first, begin = w.start[w.offset[x] : w.offset[x + 1]] - w.begin[x], w.begin[x + 1] - 1 - w.begin[x]
+                    for a, b, c, e in passages(w.hash[w.offset[x] : w.offset[x + 1]], w.hash[w.offset[y] : w.offset[y + 1]], kd, kh, threshold, min_words):
+                        own = kd[a : b - SEED + 1][mark[offset[x] + a : offset[x] + b - SEED + 1]]
+                        classes = np.intersect1d(own, kh[c : e - SEED + 1]).astype(np.int64)
+                        rows.append((ids[k], crc(texts[k]), a, b, int(first[a]) if a else 0, int(first[b]) if b < n else int(begin), classes.tolist()))
+                yield pd.DataFrame(rows, columns=["doc_id", "crc", "a", "b", "start", "end", "classes"])
+
+    def merge(batches):
         import pandas as pd
 
         for batch in batches:
-            ids, texts, asked = batch["doc_id"].to_numpy(), clean(batch["text"]), [set(x.tolist()) for x in batch["fps"]]
-            for i, j in slices(texts):
-                p = paragraphs(texts[i:j], 1)
-                if p is not None:
-                    text, fp, found, offset = p[0], p[5], p[7].astype(np.int64), p[8]
-                    rows = [(f, found[offset[k] : offset[k + 1]]) for k, (t, f) in enumerate(zip(text.tolist(), fp.tolist(), strict=True)) if f in asked[i + t]]
-                    yield pd.DataFrame(rows, columns=["fp", "s"])
-
-    units = written(spark, docs.mapInPandas(cut, UNITS))
-    keys = units.select("fp", F.explode("bands").alias("key")).groupBy("key").agg(F.min("fp").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keys = written(spark, keys)
-    # The first band brings the paragraphs' places, the others only pairs: equal paragraphs share all bands.
-    place = ["doc_id", "crc", "idx", "start", "size", "words", "fp"]
-    hits = written(spark, units.select(*place, F.col("bands")[0].alias("key")).join(keys, "key").drop("key"))
-    pairs = hits.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b"))
-    if bands > 1:
-        others = units.select("fp", F.explode(F.slice("bands", 2, bands - 1)).alias("key")).join(keys, "key").where("fp <> leader")
-        pairs = pairs.unionByName(others.select(F.col("leader").alias("a"), F.col("fp").alias("b")))
-    pairs = written(spark, pairs.distinct())
-    forget(spark, keys)
-    hits = hits.drop("leader")
-    if pairs.isEmpty():
-        hits = hits.withColumn("class", F.col("fp"))
-    else:
-        # A document that holds each paragraph of a pair; its sets are made again from the text.
-        near = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-        wanted = units.select("fp", "doc_id").join(small_or_shuffled(near), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-        wanted = written(spark, wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")))  # at most a document's own
-        made = docs.join(small_or_shuffled(wanted), "doc_id").select("doc_id", "text", "fps").mapInPandas(sets, "fp long, s array<long>")
-        made = written(spark, made.groupBy("fp").agg(F.first("s").alias("s")))
-        both = pairs.join(made.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(made.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        edges = both.where(common >= F.lit(threshold) * F.size(F.array_union("sa", "sb"))).select("a", "b")
-        roots = written(spark, components(spark, edges).select(F.col("node").alias("fp"), "root"))
-        # Paragraphs that only another band found; those that the first found too are there twice, which the fold passes over.
-        extra = units.select(*place).join(small_or_shuffled(roots), "fp").withColumn("class", F.col("root")).drop("root")
-        known = hits.join(small_or_shuffled(roots), "fp", "left").withColumn("class", F.coalesce("root", "fp")).drop("root")
-        hits = known.unionByName(extra)
-        forget(spark, near, wanted, made)
-    hits = written(spark, hits.drop("fp"))
-    forget(spark, units, pairs)
-    classes = written(spark, hits.groupBy("class").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("far")).where("home <> far").drop("far"))
-    out = hits.join(classes, "class").where("doc_id <> home").withColumn("end", F.col("start") + F.col("size"))
-    item = F.struct("idx", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "words", "class")
-    # Bounded by the document's own length.
-    grouped = out.groupBy("doc_id", "crc").agg(F.sort_array(F.collect_set(item)).alias("u"))
-    # Runs of neighbouring paragraphs, as a fold; the last run is open until the end.
-    zero = F.expr("named_struct('done', cast(array() as array<struct<start:bigint,end:bigint,words:bigint,classes:array<bigint>>>), 'at', cast(-2 as int), 'run', cast(null as struct<start:bigint,end:bigint,words:bigint,classes:array<bigint>>))")
-
-    def step(acc, x):
-        fresh = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].cast("long").alias("words"), F.array(x["class"]).alias("classes"))
-        run = acc["run"]
-        longer = F.struct(run["start"].alias("start"), x["end"].alias("end"), (run["words"] + x["words"]).alias("words"), F.array_append(run["classes"], x["class"]).alias("classes"))
-        follows = x["idx"] == acc["at"] + 1
-        closed = F.when(run.isNotNull() & ~follows, F.array_append(acc["done"], run)).otherwise(acc["done"])
-        return F.struct(closed.alias("done"), x["idx"].alias("at"), F.when(follows, longer).otherwise(fresh).alias("run"))
-
-    runs = F.aggregate("u", zero, step, lambda acc: F.array_append(acc["done"], acc["run"]))
-    spans = grouped.select("doc_id", "crc", F.filter(runs, lambda r: r["words"] >= min_words).alias("spans")).where("size(spans) > 0")
-    spans = written(spark, spans)
-    forget(spark, hits, classes)
+            lists = []
+            for found in batch["u"]:
+                spans = []  # [first word, end word, start, end, classes]
+                for x in sorted(found, key=lambda x: (x["a"], x["b"])):
+                    if spans and x["a"] <= spans[-1][1]:
+                        last = spans[-1]
+                        last[1], last[3] = max(last[1], x["b"]), max(last[3], x["end"])
+                        last[4].update(dict.fromkeys(x["classes"]))
+                    else:
+                        spans.append([x["a"], x["b"], x["start"], x["end"], dict.fromkeys(x["classes"])])
+                lists.append([{"start": s[2], "end": s[3], "words": s[1] - s[0], "classes": list(s[4])} for s in spans])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "crc": batch["crc"], "spans": lists})
+
+    units = written(spark, docs.mapInPandas(cut, "doc_id long, fp long, after long"))
+    homes = lambda rows, key: rows.groupBy(key).agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("far")).where("home <> far").drop("far")
+    hits = written(spark, units.join(homes(units, "fp"), "fp").select("doc_id", "home", F.xxhash64("fp", "after").alias("both")))
+    forget(spark, units)
+    second = hits.select("doc_id", "both").join(homes(hits, "both"), "both").select("doc_id", "home")
+    pairs = written(spark, hits.select("doc_id", "home").unionByName(second).where("doc_id <> home").distinct())
+    forget(spark, hits)
+    later, home = written(spark, pairs.select("doc_id").distinct()), written(spark, pairs.select(F.col("home").alias("doc_id")).distinct())
+    # Different texts of one doc_id, once each; partitioned by doc_id, as the joins need.
+    held = lambda ids: docs.join(small_or_shuffled(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("t")).select("doc_id", F.explode("t").alias("text"))
+    # The text of a document that many others meet is joined to short rows.
+    led = pairs.join(held(home).select(F.col("doc_id").alias("home"), F.col("text").alias("home_text")), "home").select("doc_id", "home_text")
+    both = led.join(held(later), "doc_id").select("doc_id", "text", "home_text")
+    found = written(spark, both.mapInPandas(compare, "doc_id long, crc int, a int, b int, start long, end long, classes array<long>"))
+    forget(spark, pairs, later, home)
+    # Bounded by the document's own passages and the documents that it meets.
+    grouped = found.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("a", "b", "start", "end", "classes")).alias("u"))
+    spans = written(spark, grouped.mapInPandas(merge, f"doc_id long, crc int, spans {SPAN}"))
+    forget(spark, found)
     return spans
 
 

@@ -250,6 +250,36 @@ def test_paragraphs_do_not_depend_on_the_batch(texts):
         assert (alone is None and not own.any()) or (alone[5].tolist() == together[5][own].tolist() and alone[3][-1] == len(t.encode()))
 
 
+def test_a_changed_word_does_not_hide_a_passage():
+    rng = np.random.default_rng(9)
+    for size in (51, 60, 70, 200):
+        for _ in range(60):
+            shared = [f"w{x}" for x in rng.integers(0, 10**6, size)]
+            edited = list(shared)
+            at = int(rng.integers(1, size - 1))
+            edited[at : at + 1] = [["changed"], [shared[at], "more"], []][int(rng.integers(3))] if size > 55 else ["changed"]
+            frame = lambda own: " ".join([f"a{x}" for x in rng.integers(0, 10**6, 80)] + own + [f"b{x}" for x in rng.integers(0, 10**6, 80)])  # noqa: B023, E731
+            w = common.Words([frame(edited), frame(shared)], ascii_only=True)
+            k, o, mark = op8_substring.seeds(w, 51)
+            d, h = w.hash[: w.offset[1]], w.hash[w.offset[1] :]
+            found = op8_substring.passages(d, h, k[: o[1]], k[o[1] :], 0.8, 51)
+            assert len(found) == 1 and set(k[: o[1]][mark[: o[1]]]) & set(k[o[1] :][mark[o[1] :]])
+            a, b, c, e = found[0]
+            assert 78 <= a <= 83 and abs(b - 80 - len(edited)) <= 3 and e - c > 50
+
+
+def test_a_passage_of_fifty_words_stays_and_edits_leave_whole(spark):
+    rng = np.random.default_rng(10)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    long, short = words(60), words(50)
+    edited = long[:30] + ["changed"] + long[31:]
+    rows = [(1, words(70) + long + words(70)), (2, words(70) + edited + words(70)), (3, words(40) + short + words(40)), (4, words(50) + short + words(50))]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    spans = op8_substring.repeated(d)
+    assert {r["doc_id"]: [s["words"] for s in r["spans"]] for r in spans.collect()} == {2: [60]}
+    assert by_id(op8_substring.remove(d, spans))[2]["text"] == " ".join(rows[1][1][:70] + rows[1][1][130:])
+
+
 def test_licenses(spark, none):
     d = spark.createDataFrame([(1, "text\nReleased under the MIT License.\nReleased  under the MIT LICENSE", 1), (2, None, 1), (3, "", 1), (4, "released under the new mit license", 1), (5, "x " * 5000, 1)], "doc_id long, text string, line long")
     got = sorted(tuple(r) for r in op9_licenses.scan(d).collect())
