@@ -7,8 +7,16 @@ so the number of words alone rules out most lines before any bigram is made, and
 The templates are a short fixed list, part of the plan as a literal. Lines are rows, so no group of documents or lines
 ever meets in one task; only the best line of each document and licence is gathered.
 
+A notice that is not a line of its own (a full licence text, a notice wrapped over lines or inside a longer line) is
+found by windows of the text's words, whatever its lines: windows begin and end with a bigram of the template and have
+2/3 to 3/2 of its number of bigrams. Windows that touch a line which matches by itself do not count again, and of
+windows that overlap one counts. Only texts with one of a few long words of the templates, without which no template
+can reach the threshold, are looked at. The templates of ``MORE`` have no part in the SQL twin, which knows only lines.
+
+Not built in: the full texts of Apache, GPL, LGPL, AGPL, MPL, zlib and Creative Commons licences (their notices are).
+
 Defined results: a null text is an empty text, which matches nothing, like lines of fewer than two words; repeated
-rows are counted together by doc_id (n_lines counts all matching lines); ties of lines go to the earlier line; an empty
+rows are counted together by doc_id (n_lines counts all matching lines and windows; line_no is a window's first line); ties of lines go to the earlier line; an empty
 table gives an empty table; other columns are ignored.
 """
 
@@ -38,15 +46,66 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Full texts, and notices of the other Creative Commons families.
+MORE = {
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS],
+    "BSD-2-Clause": [f"{_BSD_2} {_BSD_END}"],
+    "BSD-3-Clause": [f"{_BSD_2} {_BSD_3} {_BSD_END}"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+} | {
+    f"CC-{kind}-4.0": [f"Licensed under CC {kind.replace('-', ' ', 1)} 4.0.", f"This work is licensed under a Creative Commons {name} 4.0 International License."]
+    for kind, name in {"BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items()
+} | {"CC-BY-4.0": ["Licensed under CC BY 4.0."], "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."]}
+
 
 def bigrams(text: str) -> list[str]:
     words = re.sub("[^a-z0-9]+", " ", text.lower()).strip().split(" ")
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def needed(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which a text must hold one to reach the threshold with any template: without them too few bigrams are left."""
+    out: set[str] = set()
+    for _, b in known:
+        least = len(b) * threshold / (2 - threshold)
+        for word in sorted({x for g in b for x in g.split()}, key=lambda x: (x not in out, -len(x), x)):
+            if sum(out.isdisjoint(g.split()) for g in b) < least - 1e-9:
+                break
+            out.add(word)
+    return sorted(out)
+
+
+def windows(docs: DataFrame, table, words: list[str], threshold: float) -> DataFrame:
+    """doc_id, license, s and e (first and last bigram), line_no, last (line), dice: the best window from each start."""
+    only = lambda c: F.explode(F.array(c))
+    some = docs.where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*map(F.lit, words))))
+    split = lambda x: F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != "")
+    placed = F.flatten(F.transform(F.split("text", "\n"), lambda x, n: F.transform(split(x), lambda w: F.struct(w.alias("w"), n.alias("n")))))
+    some = some.select("doc_id", only(placed).alias("w")).where(F.size("w") > 1)
+    pair = lambda x, y: F.struct(F.concat_ws(" ", x["w"], y["w"]).alias("g"), x["n"].alias("first"), y["n"].alias("last"))
+    some = some.select("doc_id", only(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), pair)).alias("x"))
+    some = some.select("doc_id", "x", only(F.col("x.g")).alias("g"))
+    low, high = F.size("t.b") * (threshold / (2 - threshold)) - 1e-9, F.size("t.b") * ((2 - threshold) / threshold) + 1e-9
+    some = some.select("doc_id", "x", "g", F.explode(table).alias("t")).where(F.size(F.array_intersect("g", "t.b")) >= low)
+    at = F.filter(F.transform("g", lambda g, i: F.when(F.array_contains("t.b", g), i)), lambda i: i.isNotNull())
+    some = some.select("doc_id", "x", "g", "t", only(at).alias("at"))
+    starts = some.select("doc_id", "x", "g", "t", "at", F.explode("at").alias("s"))
+    fits = lambda e: (e - F.col("s") + 1 >= low) & (e - F.col("s") + 1 <= high)
+    own = lambda e: F.array_distinct(F.slice("g", F.col("s") + 1, e - F.col("s") + 1))
+    dice = lambda e: F.round(2.0 * F.size(F.array_intersect(own(e), "t.b")) / (F.size(own(e)) + F.size("t.b")), 6)
+    best = F.array_max(F.transform(F.filter("at", fits), lambda e: F.struct(dice(e).alias("dice"), (-e).alias("e"))))
+    found = starts.select("doc_id", F.col("t.license").alias("license"), "x", "s", only(best).alias("m")).where(F.col("m.dice") >= threshold)
+    return found.select("doc_id", "license", "s", (-F.col("m.e")).alias("e"), F.col("x")[F.col("s")]["first"].alias("line_no"), F.col("x")[-F.col("m.e")]["last"].alias("last"), F.col("m.dice").alias("dice"))
+
+
+def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, n_lines (matching), line_no (of the best, from 0), dice (of the best, 6 decimals)."""
-    known = [(name, bigrams(t)) for name, texts in templates.items() for t in texts]
+    given = [TEMPLATES, MORE] if templates is None else [templates]
+    known = [(name, bigrams(t)) for d in given for name, texts in d.items() for t in texts]
     known = [(name, b) for name, b in known if b]
     low, high = min(len(b) for _, b in known) * threshold / (2 - threshold), max(len(b) for _, b in known) * (2 - threshold) / threshold
     table = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b")) for name, b in known])
@@ -66,7 +125,22 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     near = few.select("doc_id", "line_no", "b", F.explode(F.filter(table, fits)).alias("t"))
     hits = near.select("doc_id", "line_no", F.struct(F.col("t.license").alias("license"), dice(F.col("t")).alias("dice")).alias("s")).where(F.col("s.dice") >= threshold)
     best = hits.groupBy("doc_id", F.col("s.license").alias("license"), "line_no").agg(F.max("s.dice").alias("dice"), F.count("*").alias("n"))
-    return best.groupBy("doc_id", "license").agg(F.count("*").alias("n_lines"), F.max(F.struct("dice", (-F.col("line_no")).alias("at"))).alias("m")).select("doc_id", "license", "n_lines", (-F.col("m.at")).cast("long").alias("line_no"), F.col("m.dice").alias("dice"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    inside = windows(texts, table, needed(known, threshold), threshold)
+    line = F.struct(F.col("dice"), (-F.col("line_no")).alias("at"))
+    window = F.struct("e", "s", "line_no", "last", "dice")
+    none = F.lit(None)
+    rows = best.select("doc_id", "license", "line_no", line.alias("m"), none.cast("struct<e:int,s:int,line_no:int,last:int,dice:double>").alias("v")).unionByName(
+        inside.select("doc_id", "license", none.cast("int").alias("line_no"), none.cast("struct<dice:double,at:int>").alias("m"), window.alias("v"))
+    )
+    # Bounded by a document's own matches.
+    both = rows.groupBy("doc_id", "license").agg(F.count("line_no").alias("n"), F.collect_set("line_no").alias("own"), F.max("m").alias("m"), F.sort_array(F.collect_set("v")).alias("v"))
+    both = both.withColumn("v", F.filter("v", lambda v: ~F.exists("own", lambda n: n.between(v["line_no"], v["last"]))))
+    # Windows apart from each other, by their ends: as many as there are passages.
+    apart = F.aggregate("v", F.expr("named_struct('n', 0L, 'end', -1)"), lambda acc, v: F.when(v["s"] > acc["end"], F.struct((acc["n"] + 1).alias("n"), v["e"].alias("end"))).otherwise(acc), lambda acc: acc["n"])
+    top = F.greatest("m", F.array_max(F.transform("v", lambda v: F.struct(v["dice"].alias("dice"), (-v["line_no"]).alias("at")))))
+    both = both.select("doc_id", "license", (F.col("n") + apart).alias("n_lines"), top.alias("m"))
+    return both.select("doc_id", "license", "n_lines", (-F.col("m.at")).cast("long").alias("line_no"), F.col("m.dice").alias("dice"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

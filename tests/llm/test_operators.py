@@ -288,6 +288,25 @@ def test_licenses(spark, none):
     assert op9_licenses.scan(none).count() == 0
 
 
+def test_licenses_that_are_no_lines_of_their_own(spark):
+    import textwrap
+
+    full = {name: op9_licenses.MORE[name][0] for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    rows = [
+        (1, "This sample code is free to use. Released under the MIT License."),
+        (2, "a\nThis work is licensed under the GNU General\nPublic License, version 3.\nb"),
+        (3, "Intro words\n" + "\n".join(textwrap.wrap(full["MIT"], 60))),
+        (4, "Licensed under CC BY-NC 4.0."),
+        (5, "plain words about a license that permits nothing in particular"),
+        (6, "\n".join(textwrap.wrap(full["BSD-3-Clause"], 60))),
+        (7, "Released under the MIT License. Then other words stand between. Released under the MIT License."),
+    ]
+    got = {(r["doc_id"], r["license"]): (r["n_lines"], r["line_no"], r["dice"]) for r in op9_licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, "MIT"] == (1, 0, 1.0) and got[2, "GPL-3.0"] == (1, 1, 1.0) and got[4, "CC-BY-NC-4.0"] == (1, 0, 1.0)
+    assert got[3, "MIT"][1:] == (1, 1.0) and got[6, "BSD-3-Clause"] == (1, 0, 1.0) and got[7, "MIT"][0] == 2
+    assert not any(i == 5 for i, _ in got)
+
+
 def test_near_duplicates(spark, docs, none, texts):
     got = by_id(op10_icws.near_duplicates(docs))
     df, n = op10_icws.document_frequencies(docs)
