@@ -1,7 +1,7 @@
 """Shared tools: written tables, size-checked semi-joins, vectorised words and shingles, components.
 
-Text is handled as NumPy arrays over whole Arrow batches, cut into slices of at most ``SLICE`` characters (or
-one text), so that memory does not depend on how many rows Spark puts in a batch.
+Arrow batches are bounded in bytes (``bounded_batches``), and their texts are handled as NumPy arrays in slices of at
+most ``SLICE`` characters (or one text), so that memory does not depend on how long rows are or how many.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 1 << 20
 SHINGLE = 5
-#: A list of ids is broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 250_000
+#: A table is broadcast up to this many rows and bytes; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 8 << 20
+#: Of an Arrow batch that Python workers get.
+BATCH_BYTES = 8 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -32,14 +34,23 @@ _inv = np.ones(1, dtype=np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset (single machine, tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where it is unset on a single machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fabula-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` (or one row) for the session's Python workers, whatever the rows' size."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back. Survives lost executors."""
     path = f"{shared_dir(spark)}/fabula-{uuid.uuid4().hex}"
@@ -57,19 +68,25 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
     spark._jvm.System.gc()  # Spark's cleaner deletes shuffle files of plans that are no longer referenced
 
 
-def small_or_shuffled(ids: DataFrame) -> DataFrame:
-    """``ids`` (a written table) with a broadcast hint if a count proves it to be small."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+def small_or_shuffled(rows: DataFrame, size: Column | int = 16) -> DataFrame:
+    """``rows`` (a written table) with a broadcast hint if a look at no more than that proves it to be small.
+
+    ``size``: bytes of a row, as a number or an expression for rows that hold lists.
+    """
+    seen = rows.select((F.lit(size) if isinstance(size, int) else size).cast("long").alias("size")).limit(BROADCAST_ROWS + 1)
+    n, total = seen.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(rows) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else rows
 
 
-def slices(texts: list, limit: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Index ranges whose texts have at most ``limit`` characters together (one text may be longer)."""
+def slices(texts: list, limit: int = SLICE, of: list | None = None) -> Iterator[tuple[int, int]]:
+    """Index ranges whose texts (and those beside them in ``of``) have at most ``limit`` characters together, or one text."""
     i, size = 0, 0
     for j, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        own = len(t) + (len(of[j]) if of else 0)
+        if size and size + own > limit:
             yield i, j
             i, size = j, 0
-        size += len(t)
+        size += own
     if i < len(texts):
         yield i, len(texts)
 
@@ -152,22 +169,20 @@ def shingles(words: np.ndarray, offset: np.ndarray, k: int = SHINGLE) -> tuple[n
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) of one type: rows (node, root), root the smallest node reached.
 
-    Alternating small-star and large-star steps (Kiveris et al., 2014) on edges a < b until every node hangs on
-    one root. Minima come from partial aggregates and joins have written tables on both sides, so that a hot
-    node's rows can be split; nothing is collected.
+    Alternating small-star and large-star steps (Kiveris et al., 2014) on edges a < b until every node hangs on one
+    root. Each turn is one plan over a written table, whose minima come from partial aggregates, so that a hot node's
+    rows can be split; nothing is collected.
     """
     live = written(spark, edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while True:
-        low = written(spark, live.groupBy("b").agg(F.min("a").alias("low"), F.count("*").alias("n")))
-        chained = live.join(low.select(F.col("b").alias("a")), "a", "left_semi")
-        if low.where("n > 1").isEmpty() and chained.isEmpty():
+        ends = live.select(F.col("a").alias("v"), F.lit(1).alias("head"), F.lit(0).alias("tail")).unionByName(live.select(F.col("b").alias("v"), F.lit(0).alias("head"), F.lit(1).alias("tail")))
+        if ends.groupBy("v").agg(F.max("head").alias("head"), F.sum("tail").alias("tail")).where("tail > 1 or head = 1 and tail = 1").isEmpty():
             break
-        small = live.join(low, "b").where("low < a").select(F.col("low").alias("a"), F.col("a").alias("b"))
-        small = written(spark, small.unionByName(low.select(F.col("low").alias("a"), "b")).distinct())
-        forget(spark, live, low)
-        low = written(spark, small.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("low")))
-        live = written(spark, small.join(low, "a", "left").select(F.coalesce("low", "a").alias("a"), "b").distinct())
-        forget(spark, small, low)
-    forget(spark, low)
+        low = live.groupBy("b").agg(F.min("a").alias("low"))
+        small = live.join(low, "b").select("low", F.explode(F.array("a", "b")).alias("b")).where("low < b").select(F.col("low").alias("a"), "b").distinct()
+        low = small.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("low"))
+        turn = written(spark, small.join(low, "a", "left").select(F.coalesce("low", "a").alias("a"), "b").distinct())
+        forget(spark, live)
+        live = turn
     star = live.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return star.unionByName(live.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -4,38 +4,41 @@ A text is a weighted set: a five-word shingle weighs its count times the mean in
 words, idf = 1 + ln((1 + N) / (1 + df)). Document frequencies are counted over all documents in 2^16 hash buckets of
 words, so what is gathered has a fixed size. ICWS draws ``BANDS * ROWS`` samples of each distinct text; texts that
 share a band are compared by exact weighted Jaccard similarity, and the verified pairs' components are the classes.
-
-Within a bucket of up to ``SMALL`` texts all are compared. In a larger one all are compared with the bucket's leader
-(of its texts the one whose buckets hold the most texts together); those that are not similar to it form the next
-round's buckets, with ``SMALL`` eight times as large, until none is left. These are split by classes of total weight
-(similar texts have weights within a factor of 1 / threshold, so each text joins its own class and the next one, and
-no similar pair is lost). So a large group of copies costs one comparison a text; no bucket is dropped, capped or
-sampled.
 With 16 bands of 4 samples a pair of similarity 0.8 shares a band with probability 0.9998.
 
-Defined results: a null text is an empty text. Equal texts are always one class (found by a 64-bit text hash), so all
-texts without words that are equal are too. A text of 1 to 4 words is one shingle. Repeated rows each get a row. An
-empty table gives an empty table. Other columns are ignored. ``keep`` marks the class's smallest doc_id.
+Within a bucket of up to ``SMALL`` texts all are compared. In a larger one all are compared with one leader, which joins
+a group of copies at one comparison a text. Buckets whose texts are not all in one class by then go the exact way:
+their texts meet again by the rarest of their shingles, a fifth of their weight (two sets of similarity t share one of
+the shingles that make up the rarest 1 - t of either), split by classes of total weight (similar sets differ by a factor
+of 1 / t at most). At the first shingle that two texts share, what either weighs from there on bounds what they have in
+common, so that a text with many edits of its own meets few others. Buckets of one class only are left out, small ones
+compare all texts of different classes, large ones first with a leader and then, where classes still differ, all texts
+of different classes that the bound allows. So a passage that many texts share costs no pairs, and no link between texts
+that share a band is lost.
+
+Defined results: a null text is an empty text. Equal texts are always one class, so all texts without words that are
+equal are too; texts are told apart by a 64-bit hash (n different texts have some n^2 / 2^65 collisions). A text of 1 to
+4 words is one shingle. Repeated rows each get a row. A null doc_id is a row like others; it is kept only if its class has
+no other. An empty table gives an empty table. Other columns are ignored. ``keep`` marks the class's smallest doc_id (of
+the rows that share that doc_id those with one of their texts).
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, Words, clean, components, forget, mix, shingles, slices, small_or_shuffled, written
+from .common import SHINGLE, Words, bounded_batches, clean, components, forget, mix, shingles, slices, small_or_shuffled, written
 
 BANDS, ROWS, THRESHOLD, SMALL = 16, 4, 0.8, 8
-DF_BUCKETS = 1 << 16
+DF_BUCKETS, RARITY_BUCKETS = 1 << 16, 1 << 18
 DRAWS = 1 << 13
 _draws: dict[int, tuple[np.ndarray, ...]] = {}
 
 
-def text_hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def text_id(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -83,37 +86,39 @@ def weighted_sets(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def draws(samples: int) -> tuple[np.ndarray, ...]:
-    """1/r, beta, r and ln c - r of ICWS: a shingle's hash picks a row of fixed random tables, a column for each sample."""
+    """1/r, r, beta + 1 and ln c of ICWS: three parts of a shingle's hash pick rows of fixed random tables, a column for each sample."""
     if samples not in _draws:
         rng = np.random.default_rng(20_240_601)
         r = rng.gamma(2.0, 1.0, (DRAWS, samples))
-        _draws[samples] = tuple(np.ascontiguousarray(x, dtype=np.float32) for x in (1.0 / r, rng.random((DRAWS, samples)), r, np.log(rng.gamma(2.0, 1.0, (DRAWS, samples))) - r))
+        _draws[samples] = tuple(np.ascontiguousarray(x, dtype=np.float32) for x in (1.0 / r, r, rng.random((DRAWS, samples)), np.log(rng.gamma(2.0, 1.0, (DRAWS, samples)))))
     return _draws[samples]
 
 
 def signatures(found: np.ndarray, weight: np.ndarray, at: np.ndarray, samples: int) -> np.ndarray:
     """ICWS samples (shingle and level) as one hash each: a row for each set at[i]:at[i+1]; empty sets have zeros."""
-    inverse, beta, r, lnc = draws(samples)
+    inverse, r, beta, lnc = draws(samples)
     column, block = np.arange(samples), 128  # blocks that stay in the processor's cache, in buffers that are used again
     t, b, a = (np.empty((block, samples), dtype=np.float32) for _ in range(3))
     who, level = np.zeros((len(at) - 1, samples), dtype=np.uint64), np.zeros((len(at) - 1, samples), dtype=np.int64)
     log_weight = np.log(weight).astype(np.float32)[:, None]
-    rows = (found >> np.uint64(7)).astype(np.int64) & (DRAWS - 1)
+    # A shingle's r, beta and c come from rows of their own, so that no two shingles share all three.
+    of_r, of_beta, of_c = ((found >> np.uint64(shift)).astype(np.int64) & (DRAWS - 1) for shift in (7, 20, 33))
     for doc in range(len(at) - 1):
         best = np.full(samples, np.inf, dtype=np.float32)
         for i in range(at[doc], at[doc + 1], block):
-            own = rows[i : min(i + block, at[doc + 1])]
-            n = len(own)
+            end = min(i + block, at[doc + 1])
+            n = end - i
             tt, bb, aa = t[:n], b[:n], a[:n]
-            np.take(inverse, own, axis=0, out=tt, mode="clip")
-            np.take(beta, own, axis=0, out=bb, mode="clip")
-            tt *= log_weight[i : i + n]
+            np.take(inverse, of_r[i:end], axis=0, out=tt, mode="clip")
+            np.take(beta, of_beta[i:end], axis=0, out=bb, mode="clip")
+            tt *= log_weight[i:end]
             tt += bb
             np.floor(tt, out=tt)
-            np.subtract(bb, tt, out=bb)
-            np.take(r, own, axis=0, out=aa, mode="clip")
+            bb -= tt
+            bb -= 1
+            np.take(r, of_r[i:end], axis=0, out=aa, mode="clip")
             bb *= aa
-            np.take(lnc, own, axis=0, out=aa, mode="clip")
+            np.take(lnc, of_c[i:end], axis=0, out=aa, mode="clip")
             aa += bb
             k = aa.argmin(axis=0)
             value = aa[k, column]
@@ -148,10 +153,25 @@ def weighted_jaccard(a: tuple, b: tuple) -> float:
     return float(low / whole) if whole else 0.0
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id), class_size, keep. One row per row of ``docs``."""
+def prefixes(found: np.ndarray, weight: np.ndarray, at: np.ndarray, rarity: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """The rarest shingles of each set, as many as make what is left lighter than threshold times the set.
+
+    Returns (set, shingle, weight of the set, its weight from this shingle on, in the order of rarity).
+    """
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((found, rarity[(found & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)], of))
+    run = np.concatenate([[0.0], np.cumsum(weight[order])])
+    whole = (run[at[1:]] - run[at[:-1]])[of]
+    left = run[at[1:]][of] - run[:-1]
+    inside = left >= threshold * whole * (1 - 1e-6)
+    return of[inside], found[order][inside], whole[inside], left[inside]
+
+
+def weighted_classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text): the written rows (doc_id, tid), and (tid, class_id, class_size, lead) for each text."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bounded_batches(spark)
+    docs = docs.withColumn("tid", text_id(F.col("text")))
     df, n = document_frequencies(docs)
     idf = 1.0 + np.log((1.0 + n) / (1.0 + df))
 
@@ -159,17 +179,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         import pandas as pd
 
         for batch in batches:
-            keys, texts = batch["doc_id"].tolist(), clean(batch["text"])
+            texts = clean(batch["text"])
             for i, j in slices(texts):
                 found, weight, at = weighted_sets(texts[i:j], idf)
-                yield pd.DataFrame({"doc_id": keys[i:j], "tid": [text_hash(t) for t in texts[i:j]], "weight": weight_classes(weight, at, threshold), "bands": band_keys(found, weight, at, bands, rows)})
-
-    def load(batches):
-        import pandas as pd
-
-        for batch in batches:
-            texts = clean(batch["text"])
-            yield pd.DataFrame({"tid": [text_hash(t) for t in texts], "text": texts})
+                yield pd.DataFrame({"doc_id": batch["doc_id"][i:j], "tid": batch["tid"][i:j], "weight": weight_classes(weight, at, threshold), "bands": band_keys(found, weight, at, bands, rows)})
 
     def compare(batches):
         import pandas as pd
@@ -177,7 +190,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         for batch in batches:
             a, b = clean(batch["text_a"]), clean(batch["text_b"])
             ok = np.zeros(len(a), dtype=bool)
-            for i, j in slices([x + y for x, y in zip(a, b, strict=True)]):
+            for i, j in slices(a, of=b):
                 distinct = {t: k for k, t in enumerate(dict.fromkeys(a[i:j] + b[i:j]))}
                 # A set alone keeps all bits of its hashes that a comparison needs, so both sides come from one call.
                 found, weight, at = weighted_sets(list(distinct), idf)
@@ -186,50 +199,119 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
                     ok[k] = weighted_jaccard(part(a[k]), part(b[k])) >= threshold - 1e-9
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "ok": ok})
 
-    signed = written(spark, docs.mapInPandas(sign, "doc_id long, tid long, weight int, bands array<long>"))
+    def count(batches):
+        import pandas as pd
+
+        total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
+        for batch in batches:
+            texts = clean(batch["text"])
+            for i, j in slices(texts):
+                found, _, _ = weighted_sets(texts[i:j], idf)
+                total += np.bincount((found & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), minlength=RARITY_BUCKETS)
+        held = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": held, "n": total[held]})
+
+    # Ids pass pandas as strings: a null would make numbers of them that lose digits.
+    signed = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(sign, "doc_id string, tid long, weight int, bands array<long>")
+    signed = written(spark, signed.withColumn("doc_id", F.col("doc_id").cast("long")))
     texts = written(spark, signed.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
-    spread = written(spark, texts.select(F.explode("bands").alias("key"), "tid", "weight"))
+
+    def bodies(ids):
+        """(tid, text) of the texts ``ids``, each once."""
+        own = small_or_shuffled(written(spark, ids.join(texts, "tid").select(F.col("tid").alias("_tid"), "first")))
+        return docs.join(own, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+
+    def verified(pairs):
+        """The pairs (a, b) of ``pairs`` that are similar, written."""
+        have = written(spark, bodies(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()))
+        both = pairs.join(have.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").join(have.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
+        yes = written(spark, both.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long, ok boolean").where("ok").select("a", "b"))
+        forget(spark, have)
+        return yes
+
+    share = threshold / (1 + threshold) * (1 - 1e-6)  # of the weight of both that similar sets have in common at least
+    able = f"x.root <> y.root and least(x.left, y.left) >= {share} * (x.whole + y.whole)"
+
+    def within(held):
+        """Pairs of texts of different classes in a bucket of at most SMALL."""
+        own = held.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("tid", "root", "whole", "left")).alias("t"))
+        own = own.select(F.explode("t").alias("x"), "t").select("x", F.explode("t").alias("y")).where(f"x.tid < y.tid and {able}")
+        return own.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
+
+    def led(held):
+        """Pairs of a larger bucket's leader with the others that are not known to be in its class."""
+        own = held.where(F.col("n") > SMALL).select(F.struct("tid", "root", "whole", "left").alias("x"), F.col("top").alias("y")).where(able)
+        return own.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b"))
+
+    def labelled(rows, edges):
+        """``rows`` with the class of their text as far as ``edges`` tell."""
+        roots = components(spark, edges).select(F.col("node").alias("tid"), F.col("root").alias("_root"))
+        return rows.join(roots, "tid", "left").withColumn("root", F.coalesce("_root", "tid")).drop("_root")
+
+    spread = written(spark, texts.select(F.explode("bands").alias("key"), "tid"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     held = written(spark, spread.join(shared, "key"))
     # The text whose buckets are fullest is the nearest to a group's centre: as leader it leaves the fewest over.
-    live = written(spark, held.join(held.groupBy("tid").agg(F.sum("n").alias("score")), "tid").select("key", "tid", "weight", "score"))
+    scores = held.groupBy("tid").agg(F.sum("n").alias("score"))
+    no_bound = [F.lit(1.0).alias("whole"), F.lit(1.0).alias("left")]
+    live = written(spark, held.join(scores, "tid").select("key", "tid", F.col("tid").alias("root"), "score", "n", *no_bound))
     forget(spark, spread, held)
-    edges, small = None, SMALL
-    while True:
-        keys = live.groupBy("key").agg(F.max(F.struct("score", "tid")).alias("top"), F.count("*").alias("n")).where("n > 1")
-        keys = written(spark, keys.select("key", F.col("top.tid").alias("leader"), "n"))
-        if keys.isEmpty():
-            forget(spark, live, keys)
-            break
-        held = written(spark, live.join(keys, "key"))
-        star = held.where((F.col("n") > small) & (F.col("tid") != F.col("leader"))).select("key", F.col("leader").alias("a"), F.col("tid").alias("b"), "weight", "score")
-        group = held.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("tid")).alias("t"))  # at most 'small' long
-        group = group.select(F.explode("t").alias("a"), "t").select("a", F.explode("t").alias("b")).where("a < b")
-        pairs = written(spark, star.select("a", "b").unionByName(group).distinct())
-        ids = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(texts, "tid").select(F.col("first").alias("doc_id")).distinct())
-        have = docs.join(small_or_shuffled(ids), "doc_id", "left_semi").mapInPandas(load, "tid long, text string")
-        have = written(spark, have.groupBy("tid").agg(F.max("text").alias("text")))
-        both = pairs.join(have.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").join(have.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
-        verdict = written(spark, both.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long, ok boolean"))
-        yes = written(spark, verdict.where("ok").select("a", "b"))
-        edges = yes if edges is None else edges.unionByName(yes)
-        rest = star.join(verdict.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("b").alias("tid"), "weight", "score")
-        if small == SMALL:
-            classes = F.explode(F.array("weight", F.col("weight") + 1))
-            rest = rest.withColumn("class", classes).select(F.xxhash64("key", "class").alias("key"), "tid", "weight", "score")
-        rest = written(spark, rest)
-        forget(spark, live, keys, held, pairs, ids, have, verdict)
-        live, small = rest, small * 8
-    named = texts.select("tid", "first", "n")
-    if edges is not None:
-        roots = written(spark, components(spark, edges).select(F.col("node").alias("tid"), "root"))
-        named = named.join(roots, "tid", "left").select("tid", "first", "n", F.coalesce("root", "tid").alias("root"))
-    else:
-        named = named.withColumn("root", F.col("tid"))
-    named = written(spark, named)
-    sizes = written(spark, named.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size")))
-    classes = written(spark, named.join(sizes, "root").select("tid", "class_id", "class_size"))
-    return signed.select("doc_id", "tid").join(classes, "tid").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("keep"))
+    held = live.join(live.groupBy("key").agg(F.max(F.struct("score", "tid", "root", "whole", "left")).alias("top")), "key")
+    pairs = written(spark, within(live).unionByName(led(held)).distinct())
+    edges = verified(pairs)
+    crowded = written(spark, labelled(live.where(F.col("n") > SMALL).select("key", "tid"), edges))
+    forget(spark, live)
+    mixed = crowded.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = written(spark, crowded.join(mixed, "key", "left_semi").select("tid", "root").distinct())
+    forget(spark, crowded)
+    if not rest.isEmpty():
+        have = written(spark, bodies(rest.select("tid")))
+        rarity = np.zeros(RARITY_BUCKETS, dtype=np.int32)  # a sketch of fixed size
+        for r in have.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").collect():
+            rarity[r["bucket"]] = min(r["n"], 2**31 - 1)
+
+        def rarest(batches):
+            import pandas as pd
+
+            for batch in batches:
+                own = clean(batch["text"])
+                for i, j in slices(own):
+                    found, weight, at = weighted_sets(own[i:j], idf)
+                    of, key, whole, left = prefixes(found, weight, at, rarity, threshold)
+                    scale = weight_classes(weight, at, threshold)[of].astype(np.uint64)
+                    for up in (0, 1):
+                        yield pd.DataFrame({"key": mix(key + (scale + np.uint64(up)) * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64), "tid": batch["tid"].to_numpy()[i + of], "whole": whole, "left": left})
+
+        keys = written(spark, have.mapInPandas(rarest, "key long, tid long, whole double, left double"))
+        forget(spark, have)
+        # Keys that one text has alone need no class, and the bound drops rows that even the lightest partner does not help.
+        shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("least")).where("n > 1")
+        keys = written(spark, keys.join(shared.drop("n"), "key").where(f"left >= {share} * (whole + least)").join(rest, "tid").drop("least"))
+        leaders = keys.groupBy("key").agg(F.max(F.struct(F.xxhash64("key", "tid").alias("h"), "tid", "root", "whole", "left")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+        held = written(spark, keys.join(leaders.where("low <> high").drop("low", "high"), "key"))
+        seen = written(spark, within(held).unionByName(led(held)).distinct().join(pairs, ["a", "b"], "left_anti"))
+        edges = written(spark, edges.unionByName(verified(seen)))
+        crowded = written(spark, labelled(held.where(F.col("n") > SMALL).select("key", "tid", "whole", "left"), edges))
+        mixed = crowded.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        crowded = written(spark, crowded.join(mixed, "key", "left_semi"))
+        if not crowded.isEmpty():
+            last = crowded.alias("x").join(crowded.alias("y"), "key").where(f"x.tid < y.tid and {able}")
+            last = last.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()
+            last = written(spark, last.join(pairs, ["a", "b"], "left_anti").join(seen, ["a", "b"], "left_anti"))
+            edges = edges.unionByName(verified(last))
+            forget(spark, last)
+        forget(spark, keys, held, seen, crowded)
+    named = written(spark, labelled(texts.select("tid", "first", "n"), edges))
+    sizes = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "tid")).alias("top"), F.sum("n").alias("class_size"))
+    classes = named.join(written(spark, sizes), "root").select("tid", F.col("top.first").alias("class_id"), "class_size", (F.col("tid") == F.col("top.tid")).alias("lead"))
+    return signed.select("doc_id", "tid"), written(spark, classes)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the class's smallest doc_id), class_size, keep. One row per row of ``docs``."""
+    signed, classes = weighted_classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), threshold, bands, rows)
+    keep = F.col("lead") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return signed.join(classes, "tid").select("doc_id", "class_id", "class_size", keep.alias("keep"))
 
 
 def _sorted(found: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +324,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, with all its columns; one row of it, if rows repeat."""
-    kept = written(spark, near_duplicates(docs).where("keep").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    out = docs.join(small_or_shuffled(kept.select("doc_id")), "doc_id", "left_semi").select(docs.columns)
-    return out if kept.where("rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """One document of each class stays, with all its columns; one row of it, if rows repeat. Null doc_ids count as ids."""
+    signed, classes = weighted_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), THRESHOLD, BANDS, ROWS)
+    kept = classes.where("lead").select(F.col("tid").alias("_tid"), F.col("class_id").alias("_first"))
+    again = signed.join(kept, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_first"))).groupBy("tid").agg(F.count("*").alias("n")).where("n > 1")
+    own = docs.withColumn("_own", text_id(F.col("text")))
+    out = own.join(small_or_shuffled(written(spark, kept)), (F.col("_own") == F.col("_tid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    return (out if again.isEmpty() else out.dropDuplicates(["_own"])).select(docs.columns)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, Words, clean, forget, mix, shingles, slices, small_or_shuffled, written
+from .common import SHINGLE, Words, bounded_batches, clean, forget, mix, shingles, slices, small_or_shuffled, written
 
 WINDOW, MIN_WORDS, THRESHOLD = 24, 51, 0.8
 SEED, SPREAD, GAP = 12, 14, 16
@@ -227,6 +227,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
     if threshold < THRESHOLD or min_words < MIN_WORDS:
         raise ValueError(f"seeds find passages of {MIN_WORDS} words or more at a similarity of {THRESHOLD} or more")
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
     def cut(batches):
@@ -247,7 +248,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
 
         for batch in batches:
             ids, texts, homes = batch["doc_id"].tolist(), clean(batch["text"]), clean(batch["home_text"])
-            for i, j in slices([x + y for x, y in zip(texts, homes, strict=True)]):
+            for i, j in slices(texts, of=homes):
                 distinct = {t: k for k, t in enumerate(dict.fromkeys(texts[i:j] + homes[i:j]))}
                 w = Words(list(distinct), ascii_only=True)
                 found, offset, mark = seeds(w, min_words)
