@@ -7,7 +7,6 @@ are encoded. Ids equal those of the tokenizers library for the vocabulary files
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import unicodedata
@@ -25,6 +24,20 @@ KNOWN = 1_500_000
 _classes: np.ndarray | None = None
 
 
+def newer() -> tuple[dict[int, str], list[int]]:
+    """Of the code points that Python's Unicode tables lack: those that the library makes lower case, and its letters."""
+    from tokenizers import Regex
+    from tokenizers.normalizers import Lowercase
+    from tokenizers.pre_tokenizers import Split
+
+    unknown = [i for i in range(0x20000) if unicodedata.category(chr(i)) == "Cn"]
+    low = Lowercase()
+    lower = {i: x for i in unknown if (x := low.normalize_str(chr(i))) != chr(i)}
+    other = Split(Regex(r"\p{L}"), "removed").pre_tokenize_str("".join(map(chr, unknown)))
+    known = {unknown[k] for _, (start, end) in other for k in range(start, end)}
+    return lower, [i for i in unknown if i not in known]
+
+
 def classes() -> np.ndarray:
     global _classes
     if _classes is None:
@@ -36,6 +49,7 @@ def classes() -> np.ndarray:
             elif c == "N":
                 table[i] = NUMBER
         table[WHITE] = SPACE
+        table[newer()[1]] = LETTER
         _classes = table
     return _classes
 
@@ -175,13 +189,15 @@ class ByteEncoder(Encoder):
 
     join_space = True
 
-    def __init__(self, ranks_path: str, end_of_text: int = 50256):
+    def __init__(self, path: str):
         super().__init__()
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.specials = {"<|endoftext|>": end_of_text}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        self.specials = {t["content"]: t["id"] for t in model["added_tokens"]}
+        byte = {c: i for i, c in enumerate(byte_alphabet())}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in self.specials}
         self.model = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -212,10 +228,14 @@ class WordEncoder(Encoder):
         self.bytes = [self.vocab[c] for c in byte_alphabet()]
         self.last = [self.vocab[c + self.end] for c in byte_alphabet()]
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
+        self.lower = newer()[0]
+        self.odd = re.compile("[" + "".join(map(chr, self.lower)) + "]") if self.lower else None
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.odd and self.odd.search(text):
+                text = text.translate(self.lower)
         return text.lower()
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
