@@ -1,34 +1,40 @@
 """Operator 7: packing by cutting-stock column generation.
 
-1. One pass encodes each document, adds id 0 and cuts it into pieces: full sequences and a shorter rest.
+1. One pass encodes each document, adds id 0 and cuts it into pieces: full sequences and a shorter rest. The pieces'
+   ids are written.
 2. The histogram of piece lengths, in units of ``UNIT`` tokens rounded up (at most ``capacity / UNIT`` numbers, the
    only thing the driver gathers) is the demand of a cutting-stock linear program. A revised simplex over patterns
    is fed by an unbounded-knapsack dynamic program that prices columns, until no pattern is better by more than
    ``gap``. Rounding up costs half a unit a piece on average, well under one per cent.
+   Where patterns would leave more than ``WASTE`` of the room empty (a length that many documents share and that fits
+   no other), as many of their longest pieces are cut in two as fill what is left, and the program is solved again.
+   Whole parts of a piece length are cut, chosen by hash, so that the histogram stays exact without a look at pieces.
 3. Patterns are rounded down; what they leave (a bounded number of pieces, as there are at most as many patterns
    as lengths) is packed by best fit, decreasing, as further patterns used once.
 4. Pieces are ranked within their length and each takes the slot of its rank. Ranks come from counts by (length,
    bucket of hashed ids), so that a length that many documents share is dealt over many tasks.
 
+``pack`` also returns each piece's ids, which queries that do not ask for them never read again.
+
 Defined results: a null text is an empty text and gives one piece of id 0; repeated rows are packed each for
 itself; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import clean, slices, written
+from .common import bounded_batches, clean, slices, written
 
 CAPACITY, UNIT = 1024, 8
+#: Share of empty room that is left to itself; parts of a length that can be cut; turns of cutting.
+WASTE, PARTS, TURNS = 0.01, 256, 4
 _encoders: dict[str, bpe.ByteEncoder] = {}
-PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id string, start long, length int, doc_tokens long, ids binary"
 
 
 def encoder(path: str) -> bpe.ByteEncoder:
@@ -38,10 +44,9 @@ def encoder(path: str) -> bpe.ByteEncoder:
 
 
 def default_path() -> str:
-    """The ranks of byte_bpe_50k.json in the other library's form: the same ids, faster on single words."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
@@ -60,10 +65,12 @@ def pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str
                     n = len(own) // 4
                     for start in range(0, n, capacity):
                         part = own[4 * start : 4 * (start + capacity)]
-                        rows.append((keys[i + k], start, len(part) // 4, zlib.crc32(part), n))
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                        rows.append((keys[i + k], start, len(part) // 4, n, part))
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
+    # Ids pass pandas as strings: a null would make numbers of them that lose digits.
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -86,6 +93,20 @@ def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """By elimination with row exchanges. The matrix is small, and threads of a linear algebra library can hang beside Spark's."""
+    n = len(matrix)
+    both = np.concatenate([matrix.astype(float), np.eye(n)], axis=1)
+    for k in range(n):
+        at = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, at]] = both[[at, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, n:]
+
+
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float, rounds: int) -> list[tuple[np.ndarray, float]]:
     """(pattern over ``lengths``, times as a fraction) of a basis that meets the demand within ``gap`` of the bound.
 
@@ -104,7 +125,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
         if x.sum() <= (1 + gap) * bound:
             break
         if turn and turn % 300 == 0:
-            inverse = np.linalg.inv(basis.astype(float))  # against rounding errors
+            inverse = inverted(basis)  # against rounding errors
             x = np.maximum(inverse @ demand, 0)
         price = inverse.sum(axis=0)  # a sequence costs 1
         while True:
@@ -165,6 +186,43 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = 0.002, rounds: i
     return out + [(dict(k), n) for k, n in same.items()]
 
 
+def cuts(counts: dict[tuple[int, int], int], capacity: int, waste: float = WASTE) -> tuple[list[tuple[int, int, int, int]], dict[int, int]]:
+    """(length, from part, to part, first cut) of the pieces to cut in two, and the histogram after that.
+
+    ``counts``: pieces by (length, part).
+    """
+    histogram: dict[int, int] = {}
+    for (n, _), k in counts.items():
+        histogram[n] = histogram.get(n, 0) + k
+    out: list[tuple[int, int, int, int]] = []
+    done: dict[int, int] = {}  # parts of a length that are cut already
+    for _ in range(TURNS):
+        volume = sum(n * k for n, k in histogram.items())
+        patterns = [(own, times, capacity - sum(n * k for n, k in own.items())) for own, times in plan(histogram, capacity)]
+        if sum(times for _, times, _ in patterns) * capacity <= (1 + waste) * volume + capacity:
+            break
+        before = len(out)
+        for own, times, room in sorted(patterns, key=lambda x: -x[1] * x[2]):
+            if not room or times * room * TURNS <= waste * volume:
+                continue
+            of = max((n for n in own if n > room), default=0) or max((n for n in histogram if n > room and n < capacity), default=0)
+            k = own.get(of, 0)
+            wanted, got, first = times * k / (k + 1) if k else times, 0, done.get(of, 0)
+            part = first
+            while of and part < PARTS and got + counts.get((of, part), 0) <= wanted:
+                got += counts.get((of, part), 0)
+                part += 1
+            if got:
+                out.append((of, first, part, room))
+                done[of] = part
+                for n, change in ((of, -got), (room, got), (of - room, got)):
+                    histogram[n] = histogram.get(n, 0) + change
+        histogram = {n: k for n, k in histogram.items() if k}
+        if len(out) == before:
+            break
+    return out, histogram
+
+
 def slots(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, pieces a sequence) for each pattern and length."""
     taken: dict[int, int] = {}
@@ -179,17 +237,27 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian, 32 bits each)."""
     if capacity % UNIT:
         raise ValueError(f"capacity must be a multiple of {UNIT}")
     spark = docs.sparkSession
+    bounded_batches(spark)
+    units = F.ceil(F.col("length") / UNIT).cast("int")
     cut = written(spark, pieces(docs, path or default_path(), capacity, id_col, text_col))
-    cut = cut.withColumn("units", F.ceil(F.col("length") / UNIT).cast("int"))
-    # At most capacity / UNIT rows, whatever the input.
-    histogram = {r["units"]: r["n"] for r in cut.groupBy("units").agg(F.count("*").alias("n")).collect()}
+    cut = cut.withColumn("units", units).withColumn("part", F.pmod(F.xxhash64("start", "doc_id"), F.lit(PARTS)).cast("int"))
+    # At most capacity / UNIT * PARTS rows, whatever the input.
+    counts = {(r["units"], r["part"]): r["n"] for r in cut.groupBy("units", "part").agg(F.count("*").alias("n")).collect()}
+    split, histogram = cuts(counts, capacity // UNIT)
+    if split:
+        spec = spark.createDataFrame(split, "of int, low int, high int, room int")  # a few rows a turn and length
+        cut = cut.join(F.broadcast(spec), (F.col("units") == F.col("of")) & (F.col("part") >= F.col("low")) & (F.col("part") < F.col("high")), "left")
+        first = F.col("room") * UNIT
+        piece = lambda at, n: F.struct((F.col("start") + at).alias("start"), n.cast("int").alias("length"), F.substring("ids", at * 4 + 1, n * 4).alias("ids"))
+        both = F.when(F.col("room").isNull(), F.array(piece(F.lit(0), F.col("length")))).otherwise(F.array(piece(F.lit(0), first), piece(first, F.col("length") - first)))
+        cut = cut.select("doc_id", "doc_tokens", F.explode(both).alias("p")).select("doc_id", "p.start", "p.length", "doc_tokens", "p.ids").withColumn("units", units)
+    cut = cut.withColumn("ids_crc32", F.crc32("ids"))
     rows = slots(plan(histogram, capacity // UNIT))
-    total = sum(histogram.values())
-    buckets = max(64, min(8192, total // 200_000))
+    buckets = max(64, sum(histogram.values()) // 200_000)
     keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("units", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("units").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -202,8 +270,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_
     held = held.withColumn("sequence_id", F.col("sequence") + F.floor((F.col("rank") - F.col("first")) / F.col("pieces")).cast("long"))
     earlier = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.col("length").cast("long")).over(earlier), F.lit(0))
-    return held.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", offset.cast("long").alias("offset"))
+    return held.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", offset.cast("long").alias("offset"), "ids")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

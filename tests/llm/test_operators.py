@@ -178,8 +178,8 @@ def test_bpe_odd_strings():
 
     rng = np.random.default_rng(6)
     odd = ["".join(rng.choice(list("'stredvlmabS  \n\t1²é!.-İΣ  日😀\x1c"), size=rng.integers(1, 30))) for _ in range(1500)]
-    odd += ["<|startoftext|>Hi<|endoftext|> 've'", "it's 'single ''s ' 's \n's don't''ve", "ΑΣ ΣΑΣ."]
-    for file, e in (("byte_bpe_50k.json", bpe.ByteEncoder(P.path("byte_bpe_50k.tiktoken"))), ("word_bpe_49k.json", bpe.WordEncoder(P.path("word_bpe_49k.json")))):
+    odd += ["<|startoftext|>Hi<|endoftext|> 've'", "it's 'single ''s ' 's \n's don't''ve", "ΑΣ ΣΑΣ.", "a\u1c89b \u1c89", "x\U000105c0y"]
+    for file, e in (("byte_bpe_50k.json", bpe.ByteEncoder(P.path("byte_bpe_50k.json"))), ("word_bpe_49k.json", bpe.WordEncoder(P.path("word_bpe_49k.json")))):
         ids, at = e.encode(odd)
         assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(odd))] == [x.ids for x in Tokenizer.from_file(P.path(file)).encode_batch(odd, add_special_tokens=False)]
 
@@ -204,7 +204,7 @@ def test_packing(docs, none, texts):
         at = 0
         for r in sorted(pieces[i], key=lambda r: r["start"]):
             part = np.array(ids[at : at + r["length"]], "<u4").tobytes()
-            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(part))
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"], bytes(r["ids"])) == (at, len(ids), zlib.crc32(part), part)
             at += r["length"]
         assert at == len(ids)
     for s in sequences.values():
@@ -229,6 +229,23 @@ def test_packing_plan_holds_the_histogram():
     assert sum(t for _, t in plan) <= 1.01 * sum(k * c for k, c in h.items()) / 128 + 1
 
 
+def test_packing_cuts_a_length_that_fits_no_other(spark, none):
+    rng = np.random.default_rng(11)
+    size = lambda: 76 if rng.random() < 0.7 else int(rng.integers(60, 129))
+    counts = Counter((size(), int(rng.integers(256))) for _ in range(40_000))
+    split, after = op7_packing.cuts(counts, 128)
+    assert split and sum(n * k for n, k in after.items()) == sum(n * k for (n, _), k in counts.items())
+    assert sum(t for _, t in op7_packing.plan(dict(after), 128)) <= 1.03 * sum(n * k for n, k in after.items()) / 128
+    rows = [(i, "a" + " b" * 601) for i in range(3000)]
+    got = op7_packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["sequence_id"] for r in got}) * 1024 <= 1.04 * 3000 * 603 and len(got) > 3000
+    by_doc = defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append((r["start"], bytes(r["ids"])))
+        assert r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) and len(r["ids"]) == 4 * r["length"]
+    assert len({b"".join(x for _, x in sorted(p)) for p in by_doc.values()}) == 1 and len(by_doc) == 3000
+
+
 def test_substring(spark, docs, none, texts):
     spans = op8_substring.repeated(docs)
     found = by_id(spans)
