@@ -13,7 +13,7 @@ from fabula.llm.common import written
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op7_packing.pack(docs)
+    return op7_packing.pack(docs).drop("ids")
 
 
 STAGES = [
