@@ -1,45 +1,45 @@
 """Operator 1: toxicity by a classifier chain of linear models.
 
-Categories are predicted one after the other: insult, contempt, and toxic as a whole. Each model is a logistic
-regression on hashed words and word beginnings; it also gets the earlier categories' probabilities. In training those
-come from models fitted without the document's fold (out of fold), so that a later model sees earlier ones' errors as
-they will be. Labels: toxic is the table's; insult and contempt are weak labels of toxic documents, by word lists.
+The label columns named by ``categories`` are predicted one after the other (by default quality, then toxic), the last
+one is judged. Each model is a logistic regression on hashed words and word beginnings; it also gets the earlier
+categories' probabilities. In training those come from models fitted without the document's fold, features included
+(out of fold), so that a later model sees earlier ones' errors as they will be.
 
-Training uses at most ``MAX_TRAIN`` labelled documents of each class (those of the smallest hashes of doc_id) and at
-most ``MAX_FEATURES`` features, a documented bound; scoring covers all documents. The decision threshold is the one
-with the best out-of-fold F1.
+Training uses at most ``MAX_TRAIN`` labelled documents with and without the last category (those of the smallest hashes
+of doc_id), the one bound here; scoring covers all documents. A model uses every feature of three training documents or
+more whose shares in the two classes differ by ``SIGMAS`` standard errors. The decision threshold is the one with the
+best out-of-fold F1.
 
 Defined results: a null text is an empty text and not toxic unless the labels say that such texts are; repeated rows
-give repeated results; labels that are null are not used, a document with labels that differ counts as toxic; without
-any labels, or with one class only, every probability is that class's rate and nothing is rejected. An empty table
-gives an empty table; other columns are ignored in ``score`` and kept in ``stage``.
+give repeated results; labels that are null do not train their category (a null in the last one: the row is not used),
+a document with labels that differ counts as having the category; without any labels, or with one class only, every
+probability is that class's rate, and nothing is rejected if that is so of the last. An empty table gives an empty
+table; other columns are ignored in ``score`` and kept in ``stage``.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, clean, mix, slices, small_or_shuffled, span_hashes, written
+from .common import Words, bounded_batches, clean, mix, slices, span_hashes, written
 
-MAX_TRAIN, MAX_FEATURES, FOLDS, DIMENSIONS, PREFIX = 2500, 2048, 4, 1 << 20, 5
-CATEGORIES = ["insult", "contempt", "toxic"]
-#: Common English words of each weak category.
-WORD_LISTS = {
-    "insult": ["idiot", "moron", "stupid", "clown", "loser", "fool", "dumb", "imbecile"],
-    "contempt": ["pathetic", "worthless", "scum", "trash", "disgusting", "filth", "garbage", "vermin"],
-}
+MAX_TRAIN, FOLDS, DIMENSIONS, STEM, SIGMAS = 2500, 4, 1 << 20, 5, 3.0
+CATEGORIES = ("quality", "toxic")
+#: The chain that a Python worker used last, by its token.
+_unpacked: dict[str, Chain] = {}
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of each text, and offsets: words, and the first bytes of longer words."""
+    """Distinct features of each text, and offsets: all words, and the first bytes of longer words."""
     w = Words(texts)
     text = w.text_of_word()
-    long = np.flatnonzero(w.end - w.start > PREFIX)
-    begins = mix(span_hashes(w.sums, w.start[long], w.start[long] + PREFIX) + np.uint64(77))
+    long = np.flatnonzero(w.end - w.start > STEM)
+    begins = mix(span_hashes(w.sums, w.start[long], w.start[long] + STEM) + np.uint64(77))
     every = np.concatenate([w.hash, begins]) & np.uint64(DIMENSIONS - 1)
     key = np.unique(np.concatenate([text, text[long]]).astype(np.uint64) * np.uint64(DIMENSIONS) + every)
     return (key & np.uint64(DIMENSIONS - 1)).astype(np.int64), np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.uint64) * np.uint64(DIMENSIONS))
@@ -98,49 +98,64 @@ def fit(columns: np.ndarray, rows: np.ndarray, n: int, extra: np.ndarray, y: np.
     return w, v[:-1], float(v[-1])
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Chain:
-    n = len(texts)
-    if n == 0 or toxic.min() == toxic.max():
-        rate = float(toxic.mean()) if n else 0.0
-        logit = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
-        return Chain(np.zeros((DIMENSIONS, len(CATEGORIES)), dtype=np.float32), [np.zeros(k) for k in range(len(CATEGORIES))], [logit] * len(CATEGORIES), 2.0)
-    labels = []
-    for name in CATEGORIES[:-1]:
-        words = set(WORD_LISTS[name])
-        labels.append(np.array([bool(t) and not words.isdisjoint(x.lower().replace(".", " ").replace(",", " ").split()) for x, t in zip(texts, toxic, strict=True)], dtype=float))
-    labels.append(toxic.astype(float))
-    parts = [(i, j, *features(texts[i:j])) for i, j in slices(texts)]
-    found = np.concatenate([p[2] for p in parts])
-    rows = np.concatenate([np.repeat(np.arange(i, j), np.diff(at)) for i, j, _, at in parts])
-    # The features that tell the classes apart most, among those of three documents or more.
-    with_it = np.bincount(found, weights=toxic[rows], minlength=DIMENSIONS) / max(1, toxic.sum())
-    without = np.bincount(found, weights=1.0 - toxic[rows], minlength=DIMENSIONS) / max(1, n - toxic.sum())
+def telling(found: np.ndarray, rows: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
+    """The features whose shares among documents with and without the category differ beyond chance."""
+    yes, no = max(1.0, y.sum()), max(1.0, n - y.sum())
+    with_it = np.bincount(found, weights=y[rows], minlength=DIMENSIONS)
     count = np.bincount(found, minlength=DIMENSIONS)
-    often = (count >= 3) & (count <= 0.2 * n)  # a word in a fifth of all documents tells little
-    gain = np.where(often, (with_it - without) ** 2 / (with_it + without + 2.0 / n), 0.0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:MAX_FEATURES])
-    chosen = chosen[gain[chosen] > 0]
+    share = count / n
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / yes + 1 / no))
+    differ = np.abs(with_it / yes - (count - with_it) / no) >= SIGMAS * error
+    return np.flatnonzero(differ & (count >= 3) & (count <= 0.2 * n))  # a word in a fifth of all documents tells little
+
+
+def model(found: np.ndarray, rows: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(features, weights, weights of ``extra``, bias) of a model of y; a rate where y has one class."""
+    if not n or y.min() == y.max():
+        rate = float(y.mean()) if n else 0.0
+        return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(extra.shape[1]), float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
+    chosen = telling(found, rows, n, y)
     slot = np.full(DIMENSIONS, -1)
     slot[chosen] = np.arange(len(chosen))
     keep = slot[found] >= 0
-    columns, rows = slot[found[keep]], rows[keep]
+    w, v, b = fit(slot[found[keep]], rows[keep], n, extra, y, max(1, len(chosen)))
+    return chosen, w[: len(chosen)], v, b
+
+
+def train(texts: list[str], labels: np.ndarray) -> Chain:
+    """``labels``: a column of 0, 1 or NaN for each category, the last without NaN."""
+    n, kinds = labels.shape
+    if n == 0 or labels[:, -1].min() == labels[:, -1].max():
+        rate = float(labels[:, -1].mean()) if n else 0.0
+        logit = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
+        return Chain(np.zeros((DIMENSIONS, kinds), dtype=np.float32), [np.zeros(k) for k in range(kinds)], [logit] * kinds, 2.0)
+    parts = [(i, j, *features(texts[i:j])) for i, j in slices(texts)]
+    found = np.concatenate([p[2] for p in parts])
+    rows = np.concatenate([np.repeat(np.arange(i, j), np.diff(at)) for i, j, _, at in parts])
     fold = np.arange(n) % FOLDS
-    size = max(1, len(chosen))
-    weights = np.zeros((DIMENSIONS, len(CATEGORIES)), dtype=np.float32)
+    weights = np.zeros((DIMENSIONS, kinds), dtype=np.float32)
     earlier, bias = [], []
-    held_out = np.zeros((n, len(CATEGORIES)))
-    for k, y in enumerate(labels):
-        extra = held_out[:, :k]
+    held_out = np.zeros((n, kinds))
+
+    def learn(k, used):
+        """A model of category k from the documents ``used`` that have its label."""
+        used = used & ~np.isnan(labels[:, k])
+        mine = used[rows]
+        back = np.cumsum(used) - 1
+        return model(found[mine], back[rows[mine]], int(used.sum()), held_out[used, :k], labels[used, k])
+
+    for k in range(kinds):
         for f in range(FOLDS):
-            mine = fold[rows] != f
-            back = np.cumsum(fold != f) - 1
-            w, v, b = fit(columns[mine], back[rows[mine]], int((fold != f).sum()), extra[fold != f], y[fold != f], size)
-            z = np.bincount(rows[~mine], weights=w[columns[~mine]], minlength=n) + extra @ v + b
+            chosen, w, v, b = learn(k, fold != f)
+            own = np.zeros(DIMENSIONS)
+            own[chosen] = w
+            z = np.bincount(rows, weights=own[found], minlength=n) + held_out[:, :k] @ v + b
             held_out[fold == f, k] = sigmoid(z)[fold == f]
-        w, v, b = fit(columns, rows, n, extra, y, size)
-        weights[chosen, k] = w[: len(chosen)]
+        chosen, w, v, b = learn(k, np.ones(n, dtype=bool))
+        weights[chosen, k] = w
         earlier.append(v)
         bias.append(b)
+    toxic = labels[:, -1]
     order = np.argsort(-held_out[:, -1], kind="stable")
     hits = np.cumsum(toxic[order])
     f1 = 2 * hits / (np.arange(1, n + 1) + toxic.sum())
@@ -149,50 +164,59 @@ def train(texts: list[str], toxic: np.ndarray) -> Chain:
     return Chain(weights, earlier, bias, float((p[best] + p[min(best + 1, n - 1)]) / 2))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, limit: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """At most ``limit`` labelled documents of each class, by hash of doc_id; the driver holds no more than those."""
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = [known.where(c).orderBy(*order).limit(limit) for c in ("toxic > 0", "toxic = 0")]
+    last = F.col(categories[-1])
+    known = labels.where(F.col("doc_id").isNotNull() & last.isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"c{k}") for k, c in enumerate(categories)])
+    judged, order = F.col(f"c{len(categories) - 1}"), [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = [known.where(judged == c).orderBy(*order).limit(limit) for c in (1, 0)]
     some = written(spark, some[0].unionByName(some[1]))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     # 2 * limit rows at most: a bounded broadcast.
-    rows = own.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = own.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(*[F.max(f"c{k}").alias(f"c{k}") for k in range(len(categories))], F.max(F.coalesce("text", F.lit(""))).alias("text"))
     rows = sorted(rows.collect(), key=lambda r: (mix(np.array([r["doc_id"]], dtype=np.int64).astype(np.uint64)).item(), r["doc_id"]))
-    return [r["text"] for r in rows], np.array([min(1, r["toxic"]) for r in rows], dtype=float)
+    table = np.array([[r[f"c{k}"] for k in range(len(categories))] for r in rows], dtype=float)
+    return [r["text"] for r in rows], table.reshape(-1, len(categories))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_insult, p_contempt, p_toxic, toxic. One row per row of ``docs``."""
+def score(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """doc_id, p_<category> for each category, toxic (the last category is over its threshold). One row per row of ``docs``."""
     spark = docs.sparkSession
-    chain = train(*training_rows(docs, labels))
-    model = spark.sparkContext.broadcast(pack(chain))
+    bounded_batches(spark)
+    packed = spark.sparkContext.broadcast(pack(train(*training_rows(docs, labels, categories))))
 
     def run(batches):
         import pandas as pd
 
-        own = unpack(model.value)
+        own = unpack(packed.value)
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), clean(batch["text"])
             for i, j in slices(texts):
                 p = own.predict(*features(texts[i:j]))
-                yield pd.DataFrame({"doc_id": ids[i:j], **{f"p_{c}": np.round(p[:, k], 6) for k, c in enumerate(CATEGORIES)}, "toxic": p[:, -1] >= own.threshold})
+                yield pd.DataFrame({"doc_id": ids[i:j], **{f"p_{c}": np.round(p[:, k], 6) for k, c in enumerate(categories)}, "toxic": p[:, -1] >= own.threshold})
 
-    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(run, schema)
+    # Ids pass pandas as strings: a null would make numbers of them that lose digits.
+    schema = "doc_id string, " + ", ".join(f"p_{c} double" for c in categories) + ", toxic boolean"
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").alias("text")).mapInPandas(run, schema)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(chain: Chain) -> tuple:
-    used = np.flatnonzero(chain.weights.any(axis=1))  # at most MAX_FEATURES rows
-    return used, chain.weights[used], chain.earlier, chain.bias, chain.threshold
+    """A token, and the chain without features that have no weight."""
+    used = np.flatnonzero(chain.weights.any(axis=1))
+    return uuid.uuid4().hex, used, chain.weights[used], chain.earlier, chain.bias, chain.threshold
 
 
 def unpack(packed: tuple) -> Chain:
-    used, values, earlier, bias, threshold = packed
-    weights = np.zeros((DIMENSIONS, len(bias)), dtype=np.float32)
-    weights[used] = values
-    return Chain(weights, earlier, bias, threshold)
+    token, used, values, earlier, bias, threshold = packed
+    if token not in _unpacked:
+        weights = np.zeros((DIMENSIONS, len(bias)), dtype=np.float32)
+        weights[used] = values
+        _unpacked.clear()
+        _unpacked[token] = Chain(weights, earlier, bias, threshold)
+    return _unpacked[token]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -203,11 +227,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic, with all their columns. Rows are judged by their own text."""
     import pandas as pd
 
-    chain = train(*training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    model = spark.sparkContext.broadcast(pack(chain))
+    bounded_batches(spark)
+    packed = spark.sparkContext.broadcast(pack(train(*training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))))
 
     def judge(text):
-        own, texts = unpack(model.value), clean(text)
+        own, texts = unpack(packed.value), clean(text)
         out = np.zeros(len(texts), dtype=bool)
         for i, j in slices(texts):
             out[i:j] = own.predict(*features(texts[i:j]))[:, -1] >= own.threshold

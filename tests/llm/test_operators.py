@@ -73,13 +73,21 @@ def test_toxicity(spark, docs, none):
         words = list(rng.choice(WORDS, 50)) + [["idiot", "scum"][i % 16 // 8]] * toxic
         rng.shuffle(words)
         rows.append((1000 + i, " ".join(words)))
-        labels.append((1000 + i, int(toxic) if i != 9 else None))
+        labels.append((1000 + i, [None, 0, 1][i % 3], int(toxic) if i != 9 else None))
     d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
-    y = spark.createDataFrame(labels[:300] + labels[:5], "doc_id long, toxic int")
+    y = spark.createDataFrame(labels[:300] + labels[:5], "doc_id long, quality int, toxic int")
     got = by_id(op1_toxicity.score(d, y))
     assert len(got) == d.count()
     held_out = [(got[1000 + i]["toxic"], i % 8 == 0) for i in range(300, 400)]
     assert np.mean([a == b for a, b in held_out]) >= 0.97
+    texts, table = [t for _, t in rows[:300]], np.array([[i % 2, i % 8 == 0] for i in range(300)], dtype=float)
+    one = op1_toxicity.train(texts, table)
+    p = one.predict(*op1_toxicity.features(texts))
+    parts = [op1_toxicity.features([t]) for t in texts]
+    for i in (0, 7, 299):  # the chain, by hand: the second model adds the first one's probability
+        first = 1 / (1 + np.exp(-(one.weights[parts[i][0], 0].sum(dtype=float) + one.bias[0])))
+        second = 1 / (1 + np.exp(-(one.weights[parts[i][0], 1].sum(dtype=float) + first * one.earlier[1][0] + one.bias[1])))
+        assert np.allclose(p[i], (first, second), atol=1e-6)
     assert op1_toxicity.score(none, y).count() == 0
     assert not any(r["toxic"] for r in op1_toxicity.score(docs, y.limit(0)).collect())
 
