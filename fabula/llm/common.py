@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 SHINGLE = 5
 #: A table is broadcast up to this many rows and bytes; beyond either the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 8 << 20
@@ -106,7 +106,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _pow, _inv = np.full(size, _P, dtype=np.uint64), np.full(size, _P_INV, dtype=np.uint64)
         _pow[0] = _inv[0] = 1
         np.cumprod(_pow, out=_pow)

@@ -95,15 +95,16 @@ def test_toxicity(spark, docs, none):
 def test_topk(spark):
     rng = np.random.default_rng(3)
     v = [(i, (rng.integers(-3, 4, 16) / 4).tolist()) for i in range(150)]
-    v += [(200, v[0][1]), (201, None), (202, [1.0] * 15 + [None]), (203, [float("nan")] * 16), (204, [float("inf")] + [0.0] * 15), (205, []), (20, v[20][1])]
+    v += [(200, v[0][1]), (201, None), (202, [1.0] * 15 + [None]), (203, [float("nan")] * 16), (204, [float("inf")] + [0.0] * 15), (205, []), (20, v[20][1]), (206, [1.0] * 40), (207, [float("nan")] * 99)]
     df = spark.createDataFrame([(i, e, 9) for i, e in v], "vec_id long, embedding array<float>, score int")
-    got = [tuple(r) for r in op2_topk.search(df.select("vec_id", "embedding").repartition(3), F.col("vec_id") % 20 == 0, k=7, block=40, query_block=4).collect()]
+    got = [tuple(r) for r in op2_topk.search(df.select("vec_id", "embedding").repartition(3), F.col("vec_id") % 20 == 0, k=7, block=20, query_block=2, tile=2).collect()]
     good = [(int(i), np.floor(64 * np.array(e, dtype=np.float32).astype(float)).astype(int)) for i, e in v if e and len(e) == 16 and None not in e and np.isfinite(np.array(e, float)).all()]
-    want = Counter()
-    for q, a in {i: a for i, a in good if i % 20 == 0}.items():
-        best = sorted((-int(a @ b), i) for i, b in good if i != q)[:7]
-        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
-    assert set(got) == set(want)
+    want = []
+    for n, (q, a) in enumerate(good):
+        if q % 20 == 0:
+            best = sorted((-int(a @ b), i) for m, (i, b) in enumerate(good) if m != n)[:7]
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    assert sorted(got) == sorted(want) and sum(q == 20 and rank == 1 for q, rank, _, _ in got) == 2
     few = df.where("vec_id < 3").select("vec_id", "embedding")
     assert op2_topk.search(few, F.col("vec_id") == 0).count() == 2
     assert op2_topk.search(few.limit(0), F.col("vec_id") == 0).count() == 0
