@@ -21,9 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 FRAME, HOP, RATE, PEAKS, FAN, REACH = 256, 128, 8000, 3, 4, 16
 _WINDOW = np.hanning(FRAME).astype(np.float64)
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, times array<int>, codes array<long>"
+SCHEMA = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, times array<int>, codes array<long>, wav binary"
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -80,7 +82,7 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: what was stored, what was read back, and the fingerprint."""
+    """One row per row of ``docs``: the stored media (``wav``), what was read back from it, and the fingerprint."""
 
     def convert(batches):
         import pandas as pd
@@ -92,7 +94,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 stored = to_wav(raw + bytes(-len(raw) % 64 or (64 if not raw else 0)))
                 read = from_wav(stored)
                 times, codes = fingerprint(np.frombuffer(read, dtype=np.uint8))
-                rows.append((key, len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), times.astype(np.int32), codes.astype(np.int64)))
+                rows.append((key, len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), times.astype(np.int32), codes.astype(np.int64), stored))
                 if len(rows) == 500:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -100,7 +102,29 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pd.DataFrame(rows, columns=names)
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(convert, SCHEMA)
+    bounded_batches(docs.sparkSession)
+    # Ids pass pandas as strings: a null would make numbers of them that lose digits.
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(convert, SCHEMA)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def fingerprints(media: DataFrame, id_col: str = "doc_id", wav_col: str = "wav") -> DataFrame:
+    """doc_id, times, codes of a column of 8-bit mono WAV files; null for a null or for what is no such file."""
+
+    def convert(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for key, stored in zip(batch["doc_id"], batch["wav"], strict=True):
+                try:
+                    times, codes = fingerprint(np.frombuffer(from_wav(stored), dtype=np.uint8))
+                except (TypeError, ValueError, EOFError, wave.Error):
+                    times = codes = None
+                yield pd.DataFrame({"doc_id": [key], "times": [times], "codes": [codes]})
+
+    bounded_batches(media.sparkSession)
+    rows = media.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(wav_col).alias("wav")).mapInPandas(convert, "doc_id string, times array<int>, codes array<long>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import clean, slices
+from .common import bounded_batches, clean, slices
 
 _encoders: dict[str, bpe.WordEncoder] = {}
 
@@ -39,7 +39,7 @@ def default_path() -> str:
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """doc_id, ids (array, if ``keep``), n_tokens, ids_sha256, decoded (if ``keep``), decoded_sha256."""
     path = path or default_path()
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep
 
     def run(batches):
         import pandas as pd
@@ -58,7 +58,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                     rows.append((*row, own.astype(np.int64), decoded) if keep else row)
                 yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    bounded_batches(docs.sparkSession)
+    # Ids pass pandas as strings: a null would make numbers of them that lose digits.
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode(ids, token: dict[int, str]) -> str:

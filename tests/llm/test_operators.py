@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,6 +119,8 @@ def test_media(docs, none, texts):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
         assert r["media_sha256"] == hashlib.sha256(op3_media.to_wav(pad)).hexdigest() and op3_media.from_wav(op3_media.to_wav(pad)) == pad
+    again = by_id(op3_media.fingerprints(op3_media.media(docs).withColumn("wav", F.when(F.col("doc_id") != 3, F.col("wav")))))
+    assert all((r["times"], r["codes"]) == ((None, None) if i == 3 else (got[i]["times"], got[i]["codes"])) for i, r in again.items())
     assert got[1]["codes"] == got[2]["codes"] and len(got[5]["times"]) == len(got[5]["codes"]) > 0
     assert op3_media.media(none).count() == 0
     n = np.arange(8192)
@@ -163,6 +166,21 @@ def test_html(spark):
     assert op5_html.main_text(page) == "Head & more\nFirst line goes éé on and on for a while\nBe.\nThe last paragraph of the article, long enough."
     plain = "<body><div class=menu><a>a</a><a>b</a></div><div><p>" + "Long text here. " * 9 + "<p>Short.</div><div class=footer>f</div>"
     assert op5_html.main_text(plain) == ("Long text here. " * 9).strip() + "\nShort."
+    body = "".join(f"<p>Sentence number {i} of a long text that goes on.</p>" for i in range(9))
+    lines = "\n".join(f"Sentence number {i} of a long text that goes on." for i in range(9))
+    menu = "<ul class=menu><li><a href=x>Home</a><li><a href=y>News</a></ul>"
+    for wrapped, want in [
+        (f'<div class="layout sidebar-right">{menu}<div><h1>Title</h1>{body}</div></div>', "Title\n" + lines),
+        (f'<div id=content class="no-sidebar"><h1>Title</h1>{body}</div><div class="sidebar">Side words</div>', "Title\n" + lines),
+        (f'<article><div class="entry-header"><h1>Title</h1></div>{body}<div class=comments>{body}{body}</div></article>', "Title\n" + lines),
+        (f'<article><div class="article-header"><h1>Title</h1></div>{body}<div class="related">More</div></article>', "Title\n" + lines),
+        ("<body>" + menu + "".join(f"<div><p>Sentence number {i} of a long text that goes on.</p></div>" for i in range(9)) + "<section><p>End.</p></section>", lines + "\nEnd."),
+    ]:
+        assert op5_html.main_text(wrapped) == want
+    began = time.time()
+    for n in (2000, 40_000):  # no time that grows with the square of the depth
+        assert op5_html.main_text("<b>" * n + "deep" + "</i>" * n + "</b>" * n + "<p>x</p>" * 50).startswith("deep")
+    assert time.time() - began < 5
     df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "<nav>m</nav><p", "x")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["n_chars"], r["text"]) for r in op5_html.extract(df).collect()}
     assert got[1][0] == len(got[1][1]) and got[2] == got[3] == (0, "") and got[4] == (0, "")
