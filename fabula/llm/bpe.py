@@ -20,7 +20,7 @@ LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SUFFIXES = ["s", "t", "re", "ve", "m", "ll", "d"]
 #: Known pre-tokens kept by a worker, at most.
-KNOWN = 1_500_000
+KNOWN = 400_000
 _classes: np.ndarray | None = None
 
 

@@ -6,9 +6,10 @@ most ``SLICE`` characters (or one text), so that memory does not depend on how l
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,27 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
     spark._jvm.System.gc()  # Spark's cleaner deletes shuffle files of plans that are no longer referenced
 
 
+def tidy(function: Callable) -> Callable:
+    """``function`` for mapInPandas, after which a Python worker gives memory back that it no longer uses.
+
+    Workers are kept from stage to stage, and what glibc and Arrow hold back for later would add up.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def small_or_shuffled(rows: DataFrame, size: Column | int = 16) -> DataFrame:
     """``rows`` (a written table) with a broadcast hint if a look at no more than that proves it to be small.
 

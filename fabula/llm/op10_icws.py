@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, Words, bounded_batches, clean, components, forget, mix, shingles, slices, small_or_shuffled, written
+from .common import SHINGLE, Words, bounded_batches, clean, components, forget, mix, shingles, slices, small_or_shuffled, tidy, written
 
 BANDS, ROWS, THRESHOLD, SMALL = 16, 4, 0.8, 8
 DF_BUCKETS, RARITY_BUCKETS = 1 << 16, 1 << 18
@@ -59,7 +59,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         found = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(found, -1), "n": np.append(total[found], rows)})
 
-    rows = docs.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = docs.mapInPandas(tidy(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DF_BUCKETS, dtype=np.int64)
     for r in rows:
         if r["bucket"] >= 0:
@@ -212,7 +212,7 @@ def weighted_classes(docs: DataFrame, threshold: float, bands: int, rows: int) -
         yield pd.DataFrame({"bucket": held, "n": total[held]})
 
     # Ids pass pandas as strings: a null would make numbers of them that lose digits.
-    signed = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(sign, "doc_id string, tid long, weight int, bands array<long>")
+    signed = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(tidy(sign), "doc_id string, tid long, weight int, bands array<long>")
     signed = written(spark, signed.withColumn("doc_id", F.col("doc_id").cast("long")))
     texts = written(spark, signed.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
 
@@ -225,7 +225,7 @@ def weighted_classes(docs: DataFrame, threshold: float, bands: int, rows: int) -
         """The pairs (a, b) of ``pairs`` that are similar, written."""
         have = written(spark, bodies(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()))
         both = pairs.join(have.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").join(have.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
-        yes = written(spark, both.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long, ok boolean").where("ok").select("a", "b"))
+        yes = written(spark, both.select("a", "b", "text_a", "text_b").mapInPandas(tidy(compare), "a long, b long, ok boolean").where("ok").select("a", "b"))
         forget(spark, have)
         return yes
 
@@ -267,7 +267,7 @@ def weighted_classes(docs: DataFrame, threshold: float, bands: int, rows: int) -
     if not rest.isEmpty():
         have = written(spark, bodies(rest.select("tid")))
         rarity = np.zeros(RARITY_BUCKETS, dtype=np.int32)  # a sketch of fixed size
-        for r in have.mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").collect():
+        for r in have.mapInPandas(tidy(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").collect():
             rarity[r["bucket"]] = min(r["n"], 2**31 - 1)
 
         def rarest(batches):
@@ -282,7 +282,7 @@ def weighted_classes(docs: DataFrame, threshold: float, bands: int, rows: int) -
                     for up in (0, 1):
                         yield pd.DataFrame({"key": mix(key + (scale + np.uint64(up)) * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64), "tid": batch["tid"].to_numpy()[i + of], "whole": whole, "left": left})
 
-        keys = written(spark, have.mapInPandas(rarest, "key long, tid long, whole double, left double"))
+        keys = written(spark, have.mapInPandas(tidy(rarest), "key long, tid long, whole double, left double"))
         forget(spark, have)
         # Keys that one text has alone need no class, and the bound drops rows that even the lightest partner does not help.
         shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("least")).where("n > 1")

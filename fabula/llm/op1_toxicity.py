@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, clean, mix, slices, span_hashes, written
+from .common import Words, bounded_batches, clean, mix, slices, span_hashes, tidy, written
 
 MAX_TRAIN, FOLDS, DIMENSIONS, STEM, SIGMAS = 2500, 4, 1 << 20, 5, 3.0
 CATEGORIES = ("quality", "toxic")
@@ -199,7 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
 
     # Ids pass pandas as strings: a null would make numbers of them that lose digits.
     schema = "doc_id string, " + ", ".join(f"p_{c} double" for c in categories) + ", toxic boolean"
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").alias("text")).mapInPandas(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").alias("text")).mapInPandas(tidy(run), schema)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

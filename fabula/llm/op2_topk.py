@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, written
+from .common import bounded_batches, tidy, written
 
 K, BLOCK, QUERY_BLOCK, TILE, LEVELS = 20, 2048, 512, 4, (4, 8, 16, 32)
 
@@ -108,7 +108,7 @@ def blocks(rows: DataFrame, block: int) -> DataFrame:
         if ids:
             yield flush(len(ids))
 
-    return rows.mapInPandas(packed, "ids binary, rows binary, x binary, n int")
+    return rows.mapInPandas(tidy(packed), "ids binary, rows binary, x binary, n int")
 
 
 def search(rows: DataFrame, queries: Column, k: int = K, scale: float = 64.0, block: int = BLOCK, query_block: int = QUERY_BLOCK, tile: int = TILE) -> DataFrame:

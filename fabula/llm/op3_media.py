@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 FRAME, HOP, RATE, PEAKS, FAN, REACH = 256, 128, 8000, 3, 4, 16
 _WINDOW = np.hanning(FRAME).astype(np.float64)
@@ -104,7 +104,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     bounded_batches(docs.sparkSession)
     # Ids pass pandas as strings: a null would make numbers of them that lose digits.
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(convert, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(tidy(convert), SCHEMA)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -123,7 +123,7 @@ def fingerprints(media: DataFrame, id_col: str = "doc_id", wav_col: str = "wav")
                 yield pd.DataFrame({"doc_id": [key], "times": [times], "codes": [codes]})
 
     bounded_batches(media.sparkSession)
-    rows = media.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(wav_col).alias("wav")).mapInPandas(convert, "doc_id string, times array<int>, codes array<long>")
+    rows = media.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(wav_col).alias("wav")).mapInPandas(tidy(convert), "doc_id string, times array<int>, codes array<long>")
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

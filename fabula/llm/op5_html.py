@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 SIGMA, CUT, HELD = 1.0, 0.5, 0.8
 #: Elements by kind, and words in class, id and role that mark furniture.
@@ -239,7 +239,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     bounded_batches(pages.sparkSession)
     # Ids pass pandas as strings: a null would make numbers of them that lose digits.
     rows = pages.select(F.col(id_col).cast("long").cast("string").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))
+    return rows.mapInPandas(tidy(run), "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

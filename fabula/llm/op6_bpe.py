@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import bounded_batches, clean, slices
+from .common import bounded_batches, clean, slices, tidy
 
 _encoders: dict[str, bpe.WordEncoder] = {}
 
@@ -60,7 +60,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     bounded_batches(docs.sparkSession)
     # Ids pass pandas as strings: a null would make numbers of them that lose digits.
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(tidy(run), schema)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

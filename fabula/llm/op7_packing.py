@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
-from .common import bounded_batches, clean, slices, written
+from .common import bounded_batches, clean, slices, tidy, written
 
 CAPACITY, UNIT = 1024, 8
 #: Share of empty room that is left to itself; parts of a length that can be cut; turns of cutting.
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     # Ids pass pandas as strings: a null would make numbers of them that lose digits.
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(tidy(run), PIECES)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

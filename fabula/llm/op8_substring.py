@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, Words, bounded_batches, clean, forget, mix, shingles, slices, small_or_shuffled, written
+from .common import SHINGLE, Words, bounded_batches, clean, forget, mix, shingles, slices, small_or_shuffled, tidy, written
 
 WINDOW, MIN_WORDS, THRESHOLD = 24, 51, 0.8
 SEED, SPREAD, GAP = 12, 14, 16
@@ -283,7 +283,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
                 lists.append([{"start": s[2], "end": s[3], "words": s[1] - s[0], "classes": list(s[4])} for s in spans])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "crc": batch["crc"], "spans": lists})
 
-    units = written(spark, docs.mapInPandas(cut, "doc_id long, fp long, after long"))
+    units = written(spark, docs.mapInPandas(tidy(cut), "doc_id long, fp long, after long"))
     homes = lambda rows, key: rows.groupBy(key).agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("far")).where("home <> far").drop("far")
     hits = written(spark, units.join(homes(units, "fp"), "fp").select("doc_id", "home", F.xxhash64("fp", "after").alias("both")))
     forget(spark, units)
@@ -296,11 +296,11 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN
     # The text of a document that many others meet is joined to short rows.
     led = pairs.join(held(home).select(F.col("doc_id").alias("home"), F.col("text").alias("home_text")), "home").select("doc_id", "home_text")
     both = led.join(held(later), "doc_id").select("doc_id", "text", "home_text")
-    found = written(spark, both.mapInPandas(compare, "doc_id long, crc int, a int, b int, start long, end long, classes array<long>"))
+    found = written(spark, both.mapInPandas(tidy(compare), "doc_id long, crc int, a int, b int, start long, end long, classes array<long>"))
     forget(spark, pairs, later, home)
     # Bounded by the document's own passages and the documents that it meets.
     grouped = found.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("a", "b", "start", "end", "classes")).alias("u"))
-    spans = written(spark, grouped.mapInPandas(merge, f"doc_id long, crc int, spans {SPAN}"))
+    spans = written(spark, grouped.mapInPandas(tidy(merge), f"doc_id long, crc int, spans {SPAN}"))
     forget(spark, found)
     return spans
 
@@ -327,7 +327,8 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     own = spans.groupBy(F.col("doc_id").alias("_fab_id")).agg(F.collect_list(F.struct("crc", edges.alias("e"))).alias("_fab"))
     own = written(docs.sparkSession, own.select("_fab_id", F.col("_fab.crc").alias("_fab_crc"), F.col("_fab.e").alias("_fab_spans")))
     udf = F.pandas_udf(apply, "string")
-    joined = docs.join(small_or_shuffled(own), docs[id_col].cast("long") == own["_fab_id"], "left")
+    held = F.aggregate("_fab_spans", F.lit(0), lambda a, x: a + F.size(x))
+    joined = docs.join(small_or_shuffled(own, 32 + 8 * F.size("_fab_crc") + 16 * held), docs[id_col].cast("long") == own["_fab_id"], "left")
     return joined.withColumn("_fab_text", F.when(F.col("_fab_id").isNull(), docs[text_col]).otherwise(udf(docs[text_col], F.col("_fab_crc"), F.col("_fab_spans")))).select(*[F.col("_fab_text").alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
@@ -337,7 +338,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     # One row a document; spans of documents without any are empty. The texts themselves do not move.
     per = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     per = written(spark, per)
-    out = docs.select("doc_id").join(small_or_shuffled(per), "doc_id", "left")
+    held = F.aggregate("spans", F.lit(0), lambda a, x: a + 32 + 8 * F.size(x["classes"]))
+    out = docs.select("doc_id").join(small_or_shuffled(per, 32 + held), "doc_id", "left")
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,words:bigint,classes:array<bigint>>>)")
     spans = F.coalesce("spans", none)
     return out.select(
