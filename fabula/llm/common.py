@@ -72,10 +72,17 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
 def tidy(function: Callable) -> Callable:
     """``function`` for mapInPandas, after which a Python worker gives memory back that it no longer uses.
 
-    Workers are kept from stage to stage, and what glibc and Arrow hold back for later would add up.
+    Workers are kept from stage to stage, and what operators cache, or glibc and Arrow hold back for later, would add up.
     """
+    owner = function.__module__
 
     def run(batches):
+        import sys
+
+        for name, module in list(sys.modules.items()):
+            if name.startswith(__package__) and name != owner:
+                for cache in getattr(module, "CACHES", ()):
+                    cache.clear()
         try:
             yield from function(batches)
         finally:

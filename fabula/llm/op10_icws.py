@@ -35,6 +35,7 @@ BANDS, ROWS, THRESHOLD, SMALL = 16, 4, 0.8, 8
 DF_BUCKETS, RARITY_BUCKETS = 1 << 16, 1 << 18
 DRAWS = 1 << 13
 _draws: dict[int, tuple[np.ndarray, ...]] = {}
+CACHES = [_draws]
 
 
 def text_id(text: Column) -> Column:

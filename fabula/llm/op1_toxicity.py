@@ -32,6 +32,7 @@ MAX_TRAIN, FOLDS, DIMENSIONS, STEM, SIGMAS = 2500, 4, 1 << 20, 5, 3.0
 CATEGORIES = ("quality", "toxic")
 #: The chain that a Python worker used last, by its token.
 _unpacked: dict[str, Chain] = {}
+CACHES = [_unpacked]
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ from . import bpe
 from .common import bounded_batches, clean, slices, tidy
 
 _encoders: dict[str, bpe.WordEncoder] = {}
+CACHES = [_encoders]
 
 
 def encoder(path: str) -> bpe.WordEncoder:

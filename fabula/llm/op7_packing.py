@@ -34,6 +34,7 @@ CAPACITY, UNIT = 1024, 8
 #: Share of empty room that is left to itself; parts of a length that can be cut; turns of cutting.
 WASTE, PARTS, TURNS = 0.01, 256, 4
 _encoders: dict[str, bpe.ByteEncoder] = {}
+CACHES = [_encoders]
 PIECES = "doc_id string, start long, length int, doc_tokens long, ids binary"
 
 
