@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 # each unit of time, stems of number words.
 DASHES = "‐‑‒–—―−"
 ARTICLES = ["l'", "le ", "la ", "les "]
-TITLES = "m. mme mlle monsieur madame mademoiselle monseigneur mgr inspecteur commissaire docteur dr professeur maître évêque abbé capitaine colonel général lieutenant sergent comte comtesse baron baronne duc duchesse prince princesse sir lord lady".split()
+TITLES = ["m.", "mme", "mlle", "monsieur", "madame", "mademoiselle", "monseigneur", "mgr", "inspecteur", "commissaire", "docteur", "dr", "professeur", "maître", "évêque", "abbé", "capitaine", "colonel", "général", "lieutenant", "sergent", "comte", "comtesse", "baron", "baronne", "duc", "duchesse", "prince", "princesse", "sir", "lord", "lady"]
 UNIT_DAYS = {"heure": 1 / 24, "nuit": 1.0, "jour": 1.0, "journée": 1.0, "semaine": 7.0, "mois": 30.0, "an": 365.0, "année": 365.0}
 NUMBER_WORDS = {"vingt": 20, "trente": 30, "quarante": 40, "cinquante": 50, "soixante": 60}
 
@@ -107,3 +108,41 @@ def links(n: Column) -> Column:
 
 def escape_json_for_html(json: Column) -> Column:
     return F.replace(json, F.lit("<"), F.lit("\\u003c"))
+
+
+def key_of(name: str | None) -> str:
+    """``normalize_exact`` of one value."""
+    table = str.maketrans({**dict.fromkeys(DASHES, "-"), "’": "'"})
+    return " ".join(unicodedata.normalize("NFKC", name or "").translate(table).split()).casefold()
+
+
+def bare_of(key: str) -> str | None:
+    """``strip_title`` of one value."""
+    bare = re.sub(_TITLE_RE, "", re.sub(_ARTICLE_RE, "", key)).strip()
+    return bare if bare and bare != key else None
+
+
+def days_of(value: float | None, unit: str | None) -> float | None:
+    """``gap_to_days`` of one value."""
+    name = (unit or "").strip().lower()
+    per = UNIT_DAYS.get(name, UNIT_DAYS.get(name.rstrip("s")))
+    return value * per if per and value and value > 0 else None
+
+
+def chunks_of(text: str | None, most: int = 8000) -> list[str]:
+    """``split_chunks`` of one text: paragraphs packed greedily, over-long ones cut."""
+    if most <= 0:
+        raise ValueError("chunks need a positive size")
+    out: list[str] = []
+    room = 0
+    for paragraph in (p for p in (text or "").split("\n\n") if p.strip()):
+        if len(paragraph) > most:
+            out.extend(paragraph[i : i + most] for i in range(0, len(paragraph), most))
+            room = 0
+        elif out and len(paragraph) + 2 <= room:
+            out[-1] += "\n\n" + paragraph
+            room -= len(paragraph) + 2
+        else:
+            out.append(paragraph)
+            room = most - len(paragraph)
+    return out

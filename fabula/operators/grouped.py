@@ -5,33 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def map_groups(df: DataFrame, keys: list[str], order: list[str], function: Callable, schema: str) -> DataFrame:
     """``function(key values, list of row tuples) -> iterable of tuples`` for each group, rows in ``order``.
 
-    Groups are whole within a partition and adjacent; one group at a time is in memory.
+    Groups are whole within a partition and adjacent; one group at a time is in memory, so it must fit a Python worker:
+    a graph is a book or a file, not a corpus. Values pass as Arrow does, with nulls and all digits of a long.
     """
-    columns, names = df.columns, [x.split()[0] for x in schema.split(", ")]
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    columns, out_schema = df.columns, to_arrow_schema(StructType.fromDDL(schema))
     at = [columns.index(k) for k in keys]
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        def batch_of(rows):
+            columns = zip(*rows, strict=True) if rows else [[] for _ in out_schema]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
         last, rows, out = None, [], []
         for batch in batches:
-            for row in zip(*(batch[c].tolist() for c in columns), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = tuple(row[i] for i in at)
                 if key != last and rows:
                     out.extend(function(last, rows))
                     rows = []
                     if len(out) >= 10_000:
-                        yield pd.DataFrame(out, columns=names)
+                        yield batch_of(out)
                         out = []
                 last = key
                 rows.append(row)
         if rows:
             out.extend(function(last, rows))
-        yield pd.DataFrame(out, columns=names)
+        yield batch_of(out)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

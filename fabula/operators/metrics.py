@@ -39,13 +39,18 @@ def lea(rows: DataFrame) -> DataFrame:
     return p.join(F.broadcast(r)).select(*report(F.col("p"), F.col("r")))  # one row each
 
 
-def confusion_pairs(rows: DataFrame, over: bool = True) -> DataFrame:
-    """Pairs a < b in one predicted cluster and different gold ones (over), or the other way round."""
+def confusion_pairs(rows: DataFrame, over: bool = True, parts: int = 16) -> DataFrame:
+    """Pairs a < b in one predicted cluster and different gold ones (over), or the other way round.
+
+    The pairs are the result, so their number is what it is; each cluster is dealt to ``parts`` x ``parts`` cells, a row
+    to one line and one column of them, so that a hot cluster's pairs come from many tasks.
+    """
     same, other = ("pred", "gold") if over else ("gold", "pred")
-    rows = rows.where("pred is not null and gold is not null")
-    a = rows.select(F.col("key").alias("a"), F.col(same).alias("s"), F.col(other).alias("oa"))
-    b = rows.select(F.col("key").alias("b"), F.col(same).alias("s"), F.col(other).alias("ob"))
-    return a.join(b, "s").where("a < b and oa <> ob").select("a", "b")
+    rows = rows.where("pred is not null and gold is not null").withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    a = rows.select(F.col("key").alias("a"), F.col(same).alias("s"), F.col(other).alias("oa"), F.col("_part").alias("line"), every.alias("column"))
+    b = rows.select(F.col("key").alias("b"), F.col(same).alias("s"), F.col(other).alias("ob"), F.col("_part").alias("column"), every.alias("line"))
+    return a.join(b, ["s", "line", "column"]).where("a < b and oa <> ob").select("a", "b")
 
 
 def precision_recall(predicted: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:
@@ -83,7 +88,14 @@ def keyword_positions(text: Column, form: str) -> Column:
 
 def kwic(texts: DataFrame, form: str, window: int = 40, key: str = "doc_id") -> DataFrame:
     """Merged windows around each hit: key, start, stop, passage."""
-    hits = texts.select(key, F.length("text").alias("n"), F.explode(keyword_positions(F.col("text"), form)).alias("at"))
-    spans = hits.select(key, F.greatest(F.col("at") - window, F.lit(0)).alias("start"), F.least(F.col("at") + len(form) + window, F.col("n")).alias("stop"))
-    merged = interval_merge(spans, key)
-    return merged.join(texts.select(key, "text"), key).select(key, "start", "stop", F.expr("substring(text, start + 1, stop - start)").alias("passage"))
+    # Windows merge within the row, so that neither repeated keys nor hot ones matter.
+    width, zero = len(form), F.expr("cast(array() as array<struct<start:int,stop:int>>)")
+    spans = F.transform(keyword_positions(F.col("text"), form), lambda at: F.struct(F.greatest(at - window, F.lit(0)).alias("start"), F.least(at + width + window, F.length("text")).alias("stop")))
+
+    def join(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        wider = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] >= x["start"]), wider).otherwise(F.concat(acc, F.array(x)))
+
+    hits = texts.where(F.contains(F.lower("text"), F.lit(form.lower()))).select(key, "text", F.explode(F.aggregate(spans, zero, join)).alias("x"))
+    return hits.select(key, F.col("x.start").alias("start"), F.col("x.stop").alias("stop"), F.expr("substring(text, x.start + 1, x.stop - x.start)").alias("passage"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,22 +14,26 @@ from .grouped import map_groups
 UNKNOWN = "inconnu"
 
 
-def stripped_index(entities: DataFrame) -> DataFrame:
-    """entities (name) -> stripped form and its key if only one entity has the form, else null."""
-    keyed = entities.select(normalize_name(F.col("name")).alias("key")).distinct().withColumn("stripped", strip_title(F.col("key"))).where("stripped is not null")
+def stripped_index(entities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """entities (name), aliases (alias, name): stripped form and the key of the only entity that has it, else null."""
+    keyed = entities.select(normalize_name(F.col("name")).alias("form")).withColumn("key", F.col("form"))
+    if aliases is not None:
+        keyed = keyed.unionByName(aliases.select(normalize_name(F.col("alias")).alias("form"), normalize_name(F.col("name")).alias("key")))
+    keyed = keyed.withColumn("stripped", strip_title(F.col("form"))).where("stripped is not null")
     return keyed.groupBy("stripped").agg(F.min("key").alias("low"), F.max("key").alias("high")).select("stripped", F.when(F.col("low") == F.col("high"), F.col("low")).alias("key"))
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame | None = None, name: str = "name") -> DataFrame:
-    """Adds ``entity`` (a key) to mentions, by priority: the key or an alias of it; the stripped index; the mention's own
-    stripped form. A form that several entities share resolves to none."""
-    keys = entities.select(normalize_name(F.col("name")).alias("k")).distinct()
+    """Adds ``entity`` (a key) to mentions, by priority: the entity that the key is an alias of, the key's own entity; the
+    stripped index; the mention's own stripped form. A form that several entities share resolves to none. ``aliases``
+    (alias, name) are claimed once each (``alias_claims``)."""
+    keys = entities.select(normalize_name(F.col("name")).alias("v")).distinct()
+    keys = keys.select(F.col("v").alias("k"), "v")
     if aliases is not None:
-        keys = keys.select("k", F.col("k").alias("v")).unionByName(aliases.select(normalize_name(F.col("alias")).alias("k"), normalize_name(F.col("name")).alias("v")))
-        keys = keys.groupBy("k").agg(F.min("v").alias("v"))
-    else:
-        keys = keys.withColumn("v", F.col("k"))
-    index = stripped_index(entities)
+        claimed = aliases.select(normalize_name(F.col("alias")).alias("k"), normalize_name(F.col("name")).alias("v")).distinct()
+        claimed = claimed.join(keys.select("v"), "v", "left_semi").select("k", "v")
+        keys = claimed.unionByName(keys.join(claimed, "k", "left_anti"))
+    index = stripped_index(entities, aliases)
     m = mentions.withColumn("_k", normalize_name(F.col(name))).withColumn("_s", strip_title(F.col("_k")))
     m = m.join(keys.select(F.col("k").alias("_k"), F.col("v").alias("_1")), "_k", "left")
     m = m.join(index.select(F.col("stripped").alias("_k"), F.col("key").alias("_2")), "_k", "left")
@@ -71,7 +77,7 @@ def fold_entities(rows: DataFrame) -> DataFrame:
     def solve(graph, group):
         names, types, titled = {}, {}, {}
         for _, _, name, key, bare, kind in group:
-            kind = kind if kind and kind == kind else UNKNOWN
+            kind = kind or UNKNOWN
             own = key if key in names else titled.get(key) or (bare if bare in names else None)
             if not key:
                 continue
@@ -88,34 +94,37 @@ def fold_entities(rows: DataFrame) -> DataFrame:
     return map_groups(keyed.where("key is not null"), ["graph_id"], ["seq"], solve, f"graph_id {kind}, entity_id long, key string, name string, type string")
 
 
-def merge_groups(members: DataFrame) -> DataFrame:
-    """members (graph_id, group_no, canonical, member_pos, member, type), resolved: which join which canonical.
+def settle(groups: list[list[tuple]]) -> dict[str, str]:
+    """The canonical of each member that merges. A group is a list of (canonical, member, type) in order.
 
-    In order of group and position: an entity joins one group only; the first real type is the group's and members of
-    another one stay out; groups of fewer than two are dropped; the canonical must be a member, else the first is.
+    A member of an earlier group is not free any more; the first real type among the free ones is the group's, and those
+    of another real type stay out; fewer than two do not merge; a canonical that is no member gives way to the first.
     """
+    heads: dict[str, str] = {}
+    for group in groups:
+        types: dict[str, str | None] = {}
+        for _, member, kind in group:
+            if member not in heads:
+                types.setdefault(member, kind if kind and kind != UNKNOWN else None)
+        real = next((t for t in types.values() if t), None)
+        names = [m for m, t in types.items() if t in (None, real)]
+        if len(names) > 1:
+            head = group[0][0]
+            heads.update(dict.fromkeys(names, head if head in names else names[0]))
+    return heads
 
-    def solve(graph, group):
-        claimed, out, pending = set(), [], {}
-        for row in group:
-            pending.setdefault(row[1], []).append(row)
-        for _, rows in sorted(pending.items()):
-            kept, kind = [], None
-            for _, _, _, _, member, own in rows:
-                own = own if own and own != UNKNOWN else None
-                if member in claimed or member in kept or (own and kind and own != kind):
-                    continue
-                kind = kind or own
-                kept.append(member)
-            if len(kept) >= 2:
-                head = rows[0][2] if rows[0][2] in kept else kept[0]
-                claimed.update(kept)
-                out.extend((graph[0], m, head) for m in kept)
-        return out
+
+def merge_groups(members: DataFrame) -> DataFrame:
+    """members (graph_id, group_no, canonical, member_pos, member, type), resolved: which join which canonical (``settle``)."""
+
+    def solve(graph, rows):
+        groups = [[r[2:] for r in own] for _, own in itertools.groupby(rows, key=lambda r: r[1])]
+        return [(graph[0], member, head) for member, head in settle(groups).items()]
 
     kind = dict(members.dtypes)["graph_id"]
-    ordered = members.select("graph_id", "group_no", "canonical", "member_pos", "member", "type")
-    return map_groups(ordered, ["graph_id"], ["group_no", "member_pos"], solve, f"graph_id {kind}, member string, canonical string")
+    ordered = members.select("graph_id", "group_no", "canonical", "member", "type", "member_pos")
+    cut = lambda graph, rows: solve(graph, [r[:5] for r in rows])
+    return map_groups(ordered, ["graph_id"], ["group_no", "member_pos"], cut, f"graph_id {kind}, member string, canonical string")
 
 
 def apply_types(entities: DataFrame, proposals: DataFrame) -> DataFrame:

@@ -76,7 +76,14 @@ def runs(points: DataFrame, key: str = "entity") -> DataFrame:
 
 
 def prior_values(journal: DataFrame, subject: list[str]) -> DataFrame:
-    """For each dated row how many different other values its attribute had at its rank or before."""
-    w = Window.partitionBy(*subject, "attribute").orderBy("rank").rangeBetween(Window.unboundedPreceding, 0)
-    dated = journal.where("rank is not null and attribute <> ''").withColumn("seen", F.collect_set("value").over(w))
-    return dated.select("assertion_id", (F.size("seen") - 1).alias("n_prior"))
+    """For each dated row how many different other values its attribute had at its rank or before.
+
+    A value counts from the first rank that has it, so a running sum of first occurrences by rank gives the number.
+    """
+    dated = journal.where("rank is not null and attribute <> ''")
+    first = dated.groupBy(*subject, "attribute", "value").agg(F.min("rank").alias("rank")).groupBy(*subject, "attribute", "rank").agg(F.count("*").alias("new"))
+    w = Window.partitionBy(*subject, "attribute").orderBy("rank")
+    points = dated.select(*subject, "attribute", "rank").distinct().alias("p").join(first.alias("f"), [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*subject, "attribute", "rank")], "left").select("p.*", "new")
+    known = points.select(*[F.col(c).alias(f"_{c}") for c in (*subject, "attribute", "rank")], F.sum(F.coalesce("new", F.lit(0))).over(w).alias("known"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*subject, "attribute", "rank")]
+    return dated.join(known, on).select("assertion_id", (F.col("known") - 1).cast("int").alias("n_prior"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import graph
+    from . import graph, whole  # noqa: F401  (both register)
 
     return dict(graph.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import graph
+    from . import graph, whole  # noqa: F401  (both register)
 
     return dict(graph.SQL)

@@ -40,7 +40,12 @@ def _chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", fx.split_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 500).alias("c"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, x, length(x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(regexp_replace(x, '\\s+', ' ', 'g')) <> ''),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS cur, CAST([] AS VARCHAR[]) AS done FROM documents UNION ALL
+  SELECT r.doc_id, p.i, CASE WHEN p.n > 500 THEN NULL WHEN r.cur IS NULL OR length(r.cur) + 2 + p.n > 500 THEN p.x ELSE r.cur || chr(10) || chr(10) || p.x END,
+    CASE WHEN p.n > 500 THEN list_concat(CASE WHEN r.cur IS NULL THEN r.done ELSE list_append(r.done, r.cur) END, list_transform(range(0, (p.n + 499) // 500), lambda k: substr(p.x, k * 500 + 1, 500))) WHEN r.cur IS NOT NULL AND length(r.cur) + 2 + p.n > 500 THEN list_append(r.done, r.cur) ELSE r.done END FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+f AS (SELECT doc_id, arg_max(CASE WHEN cur IS NULL THEN done ELSE list_append(done, cur) END, i) AS c FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_index, unnest(c) AS chunk FROM f""")
 def q_chunk_split(spark, d):
     return _chunks(spark, d).select("doc_id", F.posexplode("c").alias("chunk_index", "chunk"))
 
@@ -275,7 +280,7 @@ def q_adopt_journal(spark, d):
     return resolve.dedup_journal(moved, moved.where("moment_id is not null").select("moment_id"), ["entity"])
 
 
-@query()
+@query("WITH m AS (SELECT c_nationkey AS g, c_custkey // 5 AS n, c_custkey AS k, c_name, CASE WHEN c_custkey % 4 <> 0 THEN lower(c_mktsegment) END AS t FROM customer), r AS (SELECT *, arg_min(t, k) FILTER (t IS NOT NULL) OVER (PARTITION BY g, n) AS kind FROM m), h AS (SELECT *, count(*) OVER (PARTITION BY g, n) AS c, arg_min(c_name, k) OVER (PARTITION BY g, n) AS head FROM r WHERE t IS NULL OR t = kind) SELECT g AS graph_id, c_name AS member, head AS canonical FROM h WHERE c >= 2")
 def q_merge_groups(spark, d):
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     m = c.select(F.col("c_nationkey").alias("graph_id"), F.floor(k / 5).alias("group_no"), F.lit("none").alias("canonical"), k.alias("member_pos"), F.col("c_name").alias("member"), F.when(k % 4 == 0, "inconnu").otherwise(F.lower("c_mktsegment")).alias("type"))
@@ -534,7 +539,7 @@ def q_score_report(spark, d):
     return metrics.bcubed(rows).join(F.broadcast(counts))  # one row each
 
 
-@query()
+@query("WITH p AS (SELECT doc_id, text, unnest(string_split(lower(text), 'license')) AS x, generate_subscripts(string_split(lower(text), 'license'), 1) AS i FROM documents), h AS (SELECT doc_id, text, i, count(*) OVER (PARTITION BY doc_id) AS n, sum(length(x) + 7) OVER (PARTITION BY doc_id ORDER BY i) - 7 AS pos FROM p), s AS (SELECT doc_id, text, CAST(greatest(pos - 40, 0) AS INTEGER) AS start, CAST(least(pos + 47, length(text)) AS INTEGER) AS stop FROM h WHERE i < n), f AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM s), g AS (SELECT *, sum(CASE WHEN e IS NULL OR start > e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT doc_id, min(start) AS start, max(stop) AS stop, substr(any_value(text), min(start) + 1, max(stop) - min(start)) AS passage FROM g GROUP BY doc_id, k")
 def q_kwic(spark, d):
     return metrics.kwic(table(spark, d, "documents").select("doc_id", "text"), "license")
 
