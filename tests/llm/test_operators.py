@@ -382,3 +382,31 @@ def test_large_bucket_of_near_copies(spark):
         rows.append((i, " ".join(w)))
     got = op10_icws.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["class_id"] for r in got} == {0} and {r["class_size"] for r in got} == {60}
+
+
+def test_hot_buckets_keep_their_links(spark):
+    """Copies with none to nine edits of one base, copies of copies, and different texts with one long common passage."""
+    rng = np.random.default_rng(12)
+    base, passage = prose(rng, 140).split(), prose(rng, 60)
+    plain = []
+    for i in range(220):
+        w = list(base) if i < 150 or i % 2 else plain[int(rng.integers(150))].split()
+        for at in rng.integers(0, len(w), int(rng.integers(0, 10))):
+            w[int(at)] = f"x{i}y{at}"
+        plain.append(" ".join(w))
+    plain += [f"{prose(rng, int(rng.integers(8, 60)))} {passage} {prose(rng, 8)}" for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    got = {i: r["class_id"] for i, r in by_id(op10_icws.near_duplicates(docs)).items()}
+    df, n = op10_icws.document_frequencies(docs)
+    found, weight, at = op10_icws.weighted_sets(plain, 1 + np.log((1 + n) / (1 + df)))
+    sets = [op10_icws._sorted(found[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]) for i in range(len(plain))]
+    links = [(a, b) for a, b in itertools.combinations(range(len(plain)), 2) if plain[a] == plain[b] or op10_icws.weighted_jaccard(sets[a], sets[b]) >= 0.8]
+    leader = list(range(len(plain)))
+    for a, b in links:
+        if leader[a] != leader[b]:
+            old, new = max(leader[a], leader[b]), min(leader[a], leader[b])
+            leader = [new if x == old else x for x in leader]
+    together = sum(got[a] == got[b] for a, b in links)
+    assert len(links) > 500 and together >= 0.995 * len(links)
+    assert all(leader[i] == leader[c] for i, c in got.items())  # no class joins what no chain of links joins
+    print(f"{together} of {len(links)} links; {len(set(got.values()))} classes, {len(set(leader))} by brute force")
