@@ -11,9 +11,11 @@ A notice that is not a line of its own (a full licence text, a notice wrapped ov
 found by windows of the text's words, whatever its lines: windows begin and end with a bigram of the template and have
 2/3 to 3/2 of its number of bigrams. Windows that touch a line which matches by itself do not count again, and of
 windows that overlap one counts. Only texts with one of a few long words of the templates, without which no template
-can reach the threshold, are looked at. The templates of ``MORE`` have no part in the SQL twin, which knows only lines.
+can reach the threshold, are looked at. The SQL twin has all templates and compares all windows of all texts.
 
-Not built in: the full texts of Apache, GPL, LGPL, AGPL, MPL, zlib and Creative Commons licences (their notices are).
+Licences that differ by a word or a number (GPL and LGPL, versions 2 and 3) are each reported where they reach the
+threshold; dice tells which is nearest. Not built in: the full texts of Apache, GPL, LGPL, AGPL, MPL and Creative Commons
+licences (their notices and the usual file headers are).
 
 Defined results: a null text is an empty text, which matches nothing, like lines of fewer than two words; repeated
 rows are counted together by doc_id (n_lines counts all matching lines and windows; line_no is a window's first line); ties of lines go to the earlier line; an empty
@@ -50,7 +52,8 @@ _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPR
 _BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
-#: Full texts, and notices of the other Creative Commons families.
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+#: Full texts, file headers, and notices of the other Creative Commons families.
 MORE = {
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS],
     "BSD-2-Clause": [f"{_BSD_2} {_BSD_END}"],
@@ -59,7 +62,10 @@ MORE = {
 } | {
     f"CC-{kind}-4.0": [f"Licensed under CC {kind.replace('-', ' ', 1)} 4.0.", f"This work is licensed under a Creative Commons {name} 4.0 International License."]
     for kind, name in {"BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items()
-} | {"CC-BY-4.0": ["Licensed under CC BY 4.0."], "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."]}
+} | {
+    f"{short}-{version}.0": [f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."]
+    for short, version, what, name in (("GPL", 2, "program", "General Public License"), ("GPL", 3, "program", "General Public License"), ("LGPL", 3, "library", "Lesser General Public License"), ("AGPL", 3, "program", "Affero General Public License"))
+} | {"CC-BY-4.0": ["Licensed under CC BY 4.0."], "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."], "Zlib": [_ZLIB]}
 
 
 def bigrams(text: str) -> list[str]:
@@ -147,18 +153,39 @@ def query(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def oracle() -> str:
+def oracle(templates: dict[str, list[str]] | None = None) -> str:
+    """The same by brute force: every line, and every window between two bigrams of a template, in every text."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({i}, {quote(name)}, {quote(t)})" for i, (name, t) in enumerate((n, t) for n, ts in TEMPLATES.items() for t in ts))
+    known = [(n, t) for d in ([TEMPLATES, MORE] if templates is None else [templates]) for n, ts in d.items() for t in ts]
+    rows = ", ".join(f"({i}, {quote(name)}, {quote(t)})" for i, (name, t) in enumerate(known))
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    least, most = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
     return f"""
-WITH template AS (SELECT t, license, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM (VALUES {rows}) v(t, license, x)),
+WITH RECURSIVE template AS (SELECT t, license, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM (VALUES {rows}) v(t, license, x)),
 tb AS MATERIALIZED (SELECT t, license, {grams} AS b FROM template),
+tg AS MATERIALIZED (SELECT t, license, len(b) AS m, unnest(b) AS g FROM tb),
 line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
 lw AS MATERIALIZED (SELECT doc_id, line_no, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM line),
 lb AS MATERIALIZED (SELECT doc_id, line_no, {grams} AS b FROM lw WHERE len(w) >= 2),
 lg AS (SELECT doc_id, line_no, len(b) AS n, unnest(b) AS g FROM lb),
-tg AS (SELECT t, license, len(b) AS m, unnest(b) AS g FROM tb),
 pair AS (SELECT doc_id, line_no, license, t, round(2.0 * count(*) / (any_value(n) + any_value(m)), 6) AS dice FROM lg JOIN tg USING (g) GROUP BY doc_id, line_no, license, t),
-hit AS (SELECT doc_id, license, line_no, max(dice) AS dice FROM pair WHERE dice >= {THRESHOLD} GROUP BY ALL)
-SELECT doc_id, license, count(*) AS n_lines, arg_max(line_no, dice * 1e9 - line_no * 1e-3) AS line_no, max(dice) AS dice FROM hit GROUP BY doc_id, license"""
+hit AS MATERIALIZED (SELECT doc_id, license, line_no, max(dice) AS dice FROM pair WHERE dice >= {THRESHOLD} GROUP BY ALL),
+lword AS (SELECT doc_id, line_no, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM lw),
+word AS (SELECT doc_id, x, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, k) - 1 AS i FROM lword WHERE x <> ''),
+gram AS MATERIALIZED (SELECT doc_id, i, x || ' ' || lead(x) OVER d AS g, line_no, lead(line_no) OVER d AS last FROM word WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+place AS MATERIALIZED (SELECT doc_id, t, license, m, i, g, line_no, last FROM gram JOIN tg USING (g)),
+kept AS (SELECT doc_id, t FROM place GROUP BY doc_id, t HAVING count(DISTINCT g) >= any_value(m) * {least} - 1e-9),
+cand AS MATERIALIZED (SELECT * FROM place SEMI JOIN kept USING (doc_id, t)),
+spans AS MATERIALIZED (SELECT a.doc_id, a.t, a.license, a.m, a.i AS s, b.i AS e, a.line_no, b.last FROM cand a JOIN cand b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i - a.i + 1 BETWEEN a.m * {least} - 1e-9 AND a.m * {most} + 1e-9),
+whole AS MATERIALIZED (SELECT doc_id, list(g ORDER BY i) AS g FROM gram SEMI JOIN kept USING (doc_id) WHERE g IS NOT NULL GROUP BY doc_id),
+scored AS (SELECT doc_id, t, license, s, e, line_no, last, round(2.0 * len(list_intersect(list_distinct(g[s + 1 : e + 1]), b)) / (len(list_distinct(g[s + 1 : e + 1])) + m), 6) AS dice FROM spans JOIN whole USING (doc_id) JOIN tb USING (t, license)),
+best AS MATERIALIZED (SELECT * FROM scored WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, t, s ORDER BY dice DESC, e) = 1),
+loose AS MATERIALIZED (SELECT DISTINCT doc_id, license, s, e, line_no, dice FROM best WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.doc_id = best.doc_id AND hit.license = best.license AND hit.line_no BETWEEN best.line_no AND best.last)),
+apart(doc_id, license, e) AS (
+  SELECT doc_id, license, min(e) FROM loose GROUP BY doc_id, license
+  UNION ALL
+  SELECT loose.doc_id, loose.license, min(loose.e) FROM apart JOIN loose ON loose.doc_id = apart.doc_id AND loose.license = apart.license AND loose.s > apart.e GROUP BY loose.doc_id, loose.license
+),
+found AS (SELECT doc_id, license, line_no, dice FROM hit UNION ALL SELECT doc_id, license, line_no, dice FROM loose),
+number AS (SELECT doc_id, license, count(*) AS n_lines FROM (SELECT doc_id, license FROM hit UNION ALL SELECT doc_id, license FROM apart) GROUP BY doc_id, license)
+SELECT doc_id, license, any_value(n_lines) AS n_lines, arg_max(line_no, dice * 1e9 - line_no * 1e-3) AS line_no, max(dice) AS dice FROM found JOIN number USING (doc_id, license) GROUP BY doc_id, license"""

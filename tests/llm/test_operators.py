@@ -351,6 +351,29 @@ def test_licenses_that_are_no_lines_of_their_own(spark):
     assert not any(i == 5 for i, _ in got)
 
 
+def test_licenses_equal_every_window_in_sql(spark):
+    """Templates whole and in parts, with words changed, wrapped at random, beside and inside other words."""
+    import duckdb
+
+    rng = np.random.default_rng(13)
+    every = [t for d in (op9_licenses.TEMPLATES, op9_licenses.MORE) for ts in d.values() for t in ts]
+    rows = [(0, None), (1, ""), (2, "one"), (3, every[0])]
+    for i in range(10, 90):
+        words = []
+        for _ in range(int(rng.integers(1, 4))):
+            own = every[int(rng.integers(len(every)))].split()
+            for at in rng.integers(0, len(own), int(rng.integers(0, 1 + len(own) // 12))):
+                own[int(at)] = str(rng.choice(["other", "the", ""]))
+            cut = int(rng.integers(0, 1 + len(own) // 6))
+            words += list(rng.choice(WORDS, int(rng.integers(0, 12)))) + own[cut:]
+        rows.append((i, "".join(w + str(rng.choice([" ", "\n", "  ", ". "], p=[0.8, 0.12, 0.04, 0.04])) for w in words)))
+    documents = spark.createDataFrame(rows, "doc_id long, text string").toPandas()
+    got = sorted(tuple(r) for r in op9_licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert got == sorted(con.execute(op9_licenses.oracle()).fetchall()) and len(got) > 60
+
+
 def test_near_duplicates(spark, docs, none, texts):
     got = by_id(op10_icws.near_duplicates(docs))
     df, n = op10_icws.document_frequencies(docs)
