@@ -10,8 +10,8 @@ ever meets in one task; only the best line of each document and licence is gathe
 A notice that is not a line of its own (a full licence text, a notice wrapped over lines or inside a longer line) is
 found by windows of the text's words, whatever its lines: windows begin and end with a bigram of the template and have
 2/3 to 3/2 of its number of bigrams. Windows that touch a line which matches by itself do not count again, and of
-windows that overlap one counts. Only texts with one of a few long words of the templates, without which no template
-can reach the threshold, are looked at. The SQL twin has all templates and compares all windows of all texts.
+windows that overlap one counts. Lines and windows are made only of texts with one of a few words of the templates,
+without which no template can reach the threshold. The SQL twin has all templates and compares all windows of all texts.
 
 Licences that differ by a word or a number (GPL and LGPL, versions 2 and 3) are each reported where they reach the
 threshold; dice tells which is nearest. Not built in: the full texts of Apache, GPL, LGPL, AGPL, MPL and Creative Commons
@@ -73,25 +73,36 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+#: Words that most English texts hold; ``needed`` takes them last.
+USUAL = ("a", "and", "any", "by", "for", "from", "in", "is", "it", "of", "or", "that", "the", "this", "to", "under", "with", "you")
+
+
 def needed(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
     """Words of which a text must hold one to reach the threshold with any template: without them too few bigrams are left."""
     out: set[str] = set()
     for _, b in known:
         least = len(b) * threshold / (2 - threshold)
-        for word in sorted({x for g in b for x in g.split()}, key=lambda x: (x not in out, -len(x), x)):
+        for word in sorted({x for g in b for x in g.split()}, key=lambda x: (x not in out, x in USUAL, -len(x), x)):
             if sum(out.isdisjoint(g.split()) for g in b) < least - 1e-9:
                 break
             out.add(word)
     return sorted(out)
 
 
-def windows(docs: DataFrame, table, words: list[str], threshold: float) -> DataFrame:
+def holding(words: list[str]) -> str:
+    """Pattern of a lower-case text that holds one of the words, by first letters, so that most words of a text fail at once."""
+    ends: dict[str, list[str]] = {}
+    for w in words:
+        ends.setdefault(w[0], []).append(w[1:])
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(e)})" for c, e in ends.items()) + ")(?![a-z0-9])"
+
+
+def windows(docs: DataFrame, table, threshold: float) -> DataFrame:
     """doc_id, license, s and e (first and last bigram), line_no, last (line), dice: the best window from each start."""
     only = lambda c: F.explode(F.array(c))
-    some = docs.where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*map(F.lit, words))))
     split = lambda x: F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != "")
     placed = F.flatten(F.transform(F.split("text", "\n"), lambda x, n: F.transform(split(x), lambda w: F.struct(w.alias("w"), n.alias("n")))))
-    some = some.select("doc_id", only(placed).alias("w")).where(F.size("w") > 1)
+    some = docs.select("doc_id", only(placed).alias("w")).where(F.size("w") > 1)
     pair = lambda x, y: F.struct(F.concat_ws(" ", x["w"], y["w"]).alias("g"), x["n"].alias("first"), y["n"].alias("last"))
     some = some.select("doc_id", only(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), pair)).alias("x"))
     some = some.select("doc_id", "x", only(F.col("x.g")).alias("g"))
@@ -115,7 +126,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     known = [(name, b) for name, b in known if b]
     low, high = min(len(b) for _, b in known) * threshold / (2 - threshold), max(len(b) for _, b in known) * (2 - threshold) / threshold
     table = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b")) for name, b in known])
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.lower("text").rlike(holding(needed(known, threshold))))
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # explode(array(x)) keeps x as a column of its own: else the optimiser would copy its expression into the lambdas below
     # and compute it again for each element.
     only = lambda c: F.explode(F.array(c))
@@ -131,8 +143,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     near = few.select("doc_id", "line_no", "b", F.explode(F.filter(table, fits)).alias("t"))
     hits = near.select("doc_id", "line_no", F.struct(F.col("t.license").alias("license"), dice(F.col("t")).alias("dice")).alias("s")).where(F.col("s.dice") >= threshold)
     best = hits.groupBy("doc_id", F.col("s.license").alias("license"), "line_no").agg(F.max("s.dice").alias("dice"), F.count("*").alias("n"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    inside = windows(texts, table, needed(known, threshold), threshold)
+    inside = windows(texts, table, threshold)
     line = F.struct(F.col("dice"), (-F.col("line_no")).alias("at"))
     window = F.struct("e", "s", "line_no", "last", "dice")
     none = F.lit(None)
