@@ -4,7 +4,7 @@ Each text of over 50 words gives the hashes of some of its runs of ``SEED`` word
 ``SPREAD`` runs in a row (winnowing): two texts with ``SEED + SPREAD - 1`` = 25 words in a row in common share a seed.
 Passages of over 50 words whose five-word shingles, counted by place, have a Jaccard similarity of 0.8 always have such
 a run (one edit costs up to 5 shingles, so there is at most one in some 45 words). Documents that share a seed, or two
-seeds in a row, meet the smallest document that holds the same. In each such pair of texts all common runs of ``SEED``
+seeds in a row, meet the smallest document that holds the same. In each such pair of texts all common runs of 25
 words are extended word by word on both sides, over edits of up to ``GAP`` words; the longest stretches of the result
 that pass the similarity and the length are passages, and the later document loses them whole.
 
@@ -29,6 +29,7 @@ from .common import SHINGLE, Words, bounded_batches, clean, forget, mix, shingle
 
 WINDOW, MIN_WORDS, THRESHOLD = 24, 51, 0.8
 SEED, SPREAD, GAP = 12, 14, 16
+RUN = SEED + SPREAD - 1
 SPAN = "array<struct<start:bigint,end:bigint,words:bigint,classes:array<bigint>>>"
 
 
@@ -119,8 +120,15 @@ def common_run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+_I, _J = np.indices((GAP + 1, GAP + 1))
+_EDIT = _I + _J
+_NEED = np.where((_I == 1) & (_J == 1), 1, np.where(np.maximum(_I, _J) <= 2, 2, 4))
+
+
 def resume(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
     """Words of a and b to pass over until both go on alike; the larger the edit, the longer the run that it takes."""
+    if not len(a) or not len(b):
+        return None
     eq = a[: GAP + 5, None] == b[None, : GAP + 5]
     if not eq.any():
         return None
@@ -128,17 +136,17 @@ def resume(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
     for _ in range(4):  # lengths of runs, up to 5
         run[:-1, :-1] = eq[:-1, :-1] * np.minimum(1 + run[1:, 1:], 5)
     run = run[: GAP + 1, : GAP + 1]
-    i, j = np.indices(run.shape)
-    size = np.maximum(i, j)
-    need = np.where((i == 1) & (j == 1), 1, np.where(size <= 2, 2, 4))
-    worth = np.where(run >= need, 4 * run - i - j, -1000)
-    k = int(worth.argmax())
-    return (int(i.flat[k]), int(j.flat[k])) if worth.flat[k] > -1000 else None
+    rows, columns = run.shape
+    worth = np.where(run >= _NEED[:rows, :columns], 4 * run - _EDIT[:rows, :columns], -1000)
+    i, j = divmod(int(worth.argmax()), columns)
+    return (i, j) if worth[i, j] > -1000 else None
 
 
 def passages(d: np.ndarray, h: np.ndarray, kd: np.ndarray, kh: np.ndarray, threshold: float, min_words: int) -> list[tuple[int, int, int, int]]:
     """(first, end in d, first, end in h) of the passages of word arrays d and h, whose runs of SEED words hash to kd and kh.
 
+    Only common runs of RUN words are extended, as every passage that passes holds one.
+
     A similarity of t means (1 + t) * common >= t * (shingles of both), a sum over equal runs and the edits between.
     """
     gain = lambda n: (1 + threshold) * max(0, n - SHINGLE + 1) - 2 * threshold * n
@@ -164,6 +172,8 @@ def passages(d: np.ndarray, h: np.ndarray, kd: np.ndarray, kh: np.ndarray, thres
 
     def best_parts(chain):
         """Longest stretches of runs (i, j, n) that pass, and those before and after them."""
+        if not chain or min(chain[-1][0] + chain[-1][2] - chain[0][0], chain[-1][1] + chain[-1][2] - chain[0][1]) < min_words:
+            return
         total = np.zeros(len(chain) + 1)
         for k, (i, j, n) in enumerate(chain):
             edit = (i - chain[k - 1][0] - chain[k - 1][2] + j - chain[k - 1][1] - chain[k - 1][2]) if k else 0
@@ -194,7 +204,10 @@ def passages(d: np.ndarray, h: np.ndarray, kd: np.ndarray, kh: np.ndarray, thres
         best_parts(chain[:s])
         best_parts(chain[e + 1 :])
 
-    for i in np.flatnonzero(high > low).tolist():
+    # A common run of RUN words is SPREAD runs of SEED words, one from each word on.
+    place = np.flatnonzero(high > low)
+    part = np.cumsum(np.diff(place, prepend=-1) != 1)
+    for i in place[(np.bincount(part) >= SPREAD)[part]].tolist():
         if covered[i] and covered[i + SEED - 1]:
             continue
         for j in order[low[i] : high[i]].tolist():
@@ -203,6 +216,9 @@ def passages(d: np.ndarray, h: np.ndarray, kd: np.ndarray, kh: np.ndarray, thres
             before = common_run(d[:i][::-1], h[:j][::-1])
             n = before + common_run(d[i:], h[j:])
             i0, j0 = i - before, j - before
+            if n < RUN:
+                tried[i - j] = i0 + n
+                continue
             most = 150 * threshold + n
             left = side(d[:i0][::-1], h[:j0][::-1], most)
             right = side(d[i0 + n :], h[j0 + n :], most + sum(x[2] for x in left))
