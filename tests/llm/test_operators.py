@@ -324,6 +324,37 @@ def test_a_passage_of_fifty_words_stays_and_edits_leave_whole(spark):
     assert by_id(op8_substring.remove(d, spans))[2]["text"] == " ".join(rows[1][1][:70] + rows[1][1][130:])
 
 
+def test_passages_against_all_pairs_that_share_a_seed(spark):
+    """Passages with edits, in documents that also share short lines: nothing is removed beyond the full comparison, and little is missed."""
+    rng = np.random.default_rng(14)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared, lines = [words(int(n)) for n in rng.integers(45, 120, 12)], [words(30) for _ in range(4)]
+    rows = []
+    for i in range(240):
+        own = words(60)
+        for _ in range(int(rng.integers(0, 4))):
+            part = list(shared[int(rng.integers(12))] if rng.random() < 0.6 else lines[int(rng.integers(4))])
+            if rng.random() < 0.4:
+                part[int(rng.integers(len(part)))] = "changed"
+            own += part + words(int(rng.integers(5, 40)))
+        rows.append((i, " ".join(own)))
+    w = common.Words([t for _, t in rows], ascii_only=True)
+    found, at, mark = op8_substring.seeds(w, 51)
+    seeds = [set(found[at[i] : at[i + 1]][mark[at[i] : at[i + 1]]].tolist()) for i in range(240)]
+    hashes = [w.hash[w.offset[i] : w.offset[i + 1]] for i in range(240)]
+    want = {}
+    for i in range(240):
+        gone = np.zeros(len(hashes[i]), dtype=bool)
+        for j in range(i):
+            if seeds[i] & seeds[j]:
+                for a, b, _, _ in op8_substring.passages(hashes[i], hashes[j], found[at[i] : at[i + 1]], found[at[j] : at[j + 1]], 0.8, 51):
+                    gone[a:b] = True
+        want[i] = int(gone.sum())
+    got = {r["doc_id"]: sum(s["words"] for s in r["spans"]) for r in op8_substring.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got.get(i, 0) <= n for i, n in want.items())
+    assert sum(n > 0 for n in want.values()) > 100 and sum(got.values()) >= 0.97 * sum(want.values())
+
+
 def test_licenses(spark, none):
     d = spark.createDataFrame([(1, "text\nReleased under the MIT License.\nReleased  under the MIT LICENSE", 1), (2, None, 1), (3, "", 1), (4, "released under the new mit license", 1), (5, "x " * 5000, 1)], "doc_id long, text string, line long")
     got = sorted(tuple(r) for r in op9_licenses.scan(d).collect())
