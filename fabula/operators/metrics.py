@@ -39,18 +39,28 @@ def lea(rows: DataFrame) -> DataFrame:
     return p.join(F.broadcast(r)).select(*report(F.col("p"), F.col("r")))  # one row each
 
 
-def confusion_pairs(rows: DataFrame, over: bool = True, parts: int = 16) -> DataFrame:
+def confusion_pairs(rows: DataFrame, over: bool = True, hot: int = 4096) -> DataFrame:
     """Pairs a < b in one predicted cluster and different gold ones (over), or the other way round.
 
-    The pairs are the result, so their number is what it is; each cluster is dealt to ``parts`` x ``parts`` cells, a row
-    to one line and one column of them, so that a hot cluster's pairs come from many tasks.
+    The pairs are the result, so their number is what it is. Clusters of up to ``hot`` rows are shuffled once and joined
+    with themselves. A larger one is dealt to parts x parts cells, a row to one line and one column of them, so that its
+    pairs come from many tasks; with parts of ``hot`` rows the copies stay few beside the pairs that are compared.
     """
     same, other = ("pred", "gold") if over else ("gold", "pred")
-    rows = rows.where("pred is not null and gold is not null").withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    a = rows.select(F.col("key").alias("a"), F.col(same).alias("s"), F.col(other).alias("oa"), F.col("_part").alias("line"), every.alias("column"))
-    b = rows.select(F.col("key").alias("b"), F.col(same).alias("s"), F.col(other).alias("ob"), F.col("_part").alias("column"), every.alias("line"))
-    return a.join(b, ["s", "line", "column"]).where("a < b and oa <> ob").select("a", "b")
+    rows = rows.where("pred is not null and gold is not null").select("key", F.col(same).alias("s"), F.col(other).alias("o"))
+    # Counted by a short hash: where two clusters share one, both may count as large, which is as right.
+    h = F.hash("s").alias("h")
+    large = F.broadcast(rows.groupBy(h).agg(F.count("*").alias("n")).where(F.col("n") > hot))  # at most one in ``hot`` rows
+    # Both sides have the same columns, so that Spark makes one shuffle serve both.
+    small = rows.join(large, F.hash("s") == F.col("h"), "left_anti")
+    near = small.alias("x").join(small.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.o") != F.col("y.o"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+    dealt = rows.join(large, F.hash("s") == F.col("h")).withColumn("parts", F.ceil(F.col("n") / hot).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = dealt.select(F.col("key").alias("a"), "s", F.col("o").alias("oa"), F.col("part").alias("line"), every.alias("column"))
+    b = dealt.select(F.col("key").alias("b"), "s", F.col("o").alias("ob"), F.col("part").alias("column"), every.alias("line"))
+    return near.unionByName(a.join(b, ["s", "line", "column"]).where("a < b and oa <> ob").select("a", "b"))
 
 
 def precision_recall(predicted: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +77,38 @@ def test_cluster_scores(spark):
     assert rows(metrics.lea(df("111", "aab")))[0][:2] == (pytest.approx(1 / 3, abs=1e-6), pytest.approx(2 / 3, abs=1e-6))
 
 
+def shuffled(spark, df):
+    """Rows that a count of df writes to shuffles."""
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    total = lambda: (lambda x: sum(x.apply(i).shuffleWriteRecords() for i in range(x.size())))(stages())
+    before = total()
+    df.count()
+    return total() - before
+
+
+def test_confusion_pairs_of_small_and_large_clusters(spark):
+    rng = random.Random(5)
+    pred = [rng.choice("abb" + "ccccccccc" * 5) if i % 3 else f"s{i // 9}" for i in range(900)]
+    found = [(i, p, rng.choice("xyz") if p != "b" else "x") for i, p in enumerate(pred)] + [(900, None, "x"), (901, "a", None), (0, "c", "other")]
+    want = sorted((a, b) for a, p, g in found for b, q, h in found if p == q and g != h and a < b and None not in (p, g, h))
+    df = spark.createDataFrame(found, "key long, pred string, gold string")
+    turned = df.select("key", F.col("gold").alias("pred"), F.col("pred").alias("gold"))
+    for hot in (1, 8, 100, 4096):
+        assert sorted(map(tuple, metrics.confusion_pairs(df, hot=hot).collect())) == want
+        assert sorted(map(tuple, metrics.confusion_pairs(turned, over=False, hot=hot).collect())) == want
+
+
+def test_pairs_of_small_clusters_are_not_copied(spark):
+    df = spark.range(4000).select(F.col("id").alias("key"), F.expr("cast(id div 4 as string)").alias("pred"), F.expr("cast(id % 4 as string)").alias("gold"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert shuffled(spark, metrics.confusion_pairs(df)) < 3 * 4000  # it was 32 for each row
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_keyword_in_context(spark):
     df = spark.createDataFrame([(1, "aaaa b AA"), (2, "none")], "doc_id int, text string")
     assert rows(metrics.kwic(df, "aa", 1)) == [(1, 0, 5, "aaaa "), (1, 6, 9, " AA")]
