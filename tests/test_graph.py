@@ -109,6 +109,22 @@ def test_pairs_of_small_clusters_are_not_copied(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_spans_that_repeat_stay_in_their_island(spark):
+    rng = random.Random(7)
+    spans = [(k, s, s + rng.randrange(3)) for k in range(20) for s in (rng.randrange(120) for _ in range(60)) for _ in range(rng.randrange(1, 5))]
+    want = []
+    for k in range(20):
+        own = []
+        for _, start, stop in sorted(x for x in spans if x[0] == k):
+            if own and start <= own[-1][2]:
+                own[-1] = (k, own[-1][1], max(stop, own[-1][2]))
+            else:
+                own.append((k, start, stop))
+        want += own
+    df = spark.createDataFrame(spans, "key long, start long, stop long").repartition(7)
+    assert sorted(map(tuple, metrics.interval_merge(df, "key").select("key", "start", "stop").collect())) == sorted(want)
+
+
 def test_keyword_in_context(spark):
     df = spark.createDataFrame([(1, "aaaa b AA"), (2, "none")], "doc_id int, text string")
     assert rows(metrics.kwic(df, "aa", 1)) == [(1, 0, 5, "aaaa "), (1, 6, 9, " AA")]
