@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graphs import TABLES, WIDE, Builder, Graphs, fold, folded, op, wide
-from ..operators.grouped import map_groups
+from ..operators.grouped import map_groups, map_rows
 
 #: The schema of a graph file.
 DDL = """
@@ -61,8 +61,8 @@ def database_rows(graph, content: bytes) -> Iterator[tuple]:
 def of_files(files: DataFrame) -> Graphs:
     """Graphs of files (graph_id, content binary)."""
     kind = dict(files.dtypes)["graph_id"]
-    rows = map_groups(files.select("graph_id", "content"), ["graph_id"], [], lambda key, rows: list(database_rows(key[0], bytes(rows[0][1]))), f"graph_id {kind}, tbl string, {WIDE}")
-    return Graphs.from_rows(rows)
+    rows = map_rows(files.select("graph_id", "content"), lambda row: database_rows(row[0], bytes(row[1])), f"graph_id {kind}, tbl string, {WIDE}")
+    return Graphs.from_rows(rows, keep=False)
 
 
 def read_sqlite(spark: SparkSession, path: str) -> Graphs:
@@ -71,11 +71,20 @@ def read_sqlite(spark: SparkSession, path: str) -> Graphs:
 
 
 def to_files(graphs: Graphs) -> DataFrame:
-    """(graph_id, content): each graph as a SQLite file."""
+    """(graph_id, content): each graph as a SQLite file. Small pages, as a small graph fills few of its tables."""
+
+    def empty() -> bytes:
+        db = sqlite3.connect(":memory:")
+        db.executescript("PRAGMA page_size = 1024;" + DDL)
+        content = db.serialize()
+        db.close()
+        return content
+
+    start = empty()
 
     def save(key, rows):
         db = sqlite3.connect(":memory:")
-        db.executescript(DDL)
+        db.deserialize(start)
         for table, columns in TABLES.items():
             at = [names.index(c) for c in columns]
             db.executemany(f"INSERT INTO {table} ({', '.join(columns)}) VALUES ({', '.join('?' * len(columns))})", ([r[i] for i in at] for r in rows if r[1] == table))

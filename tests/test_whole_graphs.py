@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fabula import cli
 from fabula.operators import graphs, present, refine, timeline
 from fabula.operators.graphs import Builder, Graphs
-from fabula.operators.grouped import map_groups
+from fabula.operators.grouped import BYTES, batches_of, map_groups
 from fabula.sources import backends, stores
 
 
@@ -248,3 +248,17 @@ def test_groups_keep_nulls_and_long_numbers(spark):
     got = map_groups(rows, ["k"], ["v"], lambda key, rows: [(key[0], [r[1] for r in rows].count(big), len(rows))], "k long, n long, rows long").collect()
     assert sorted(map(tuple, got), key=str) == [(3, 1, 2), (None, 1, 2)]
     assert map_groups(rows.limit(0), ["k"], ["v"], lambda key, rows: [], "k long, n long").count() == 0
+
+
+def test_files_pass_in_batches_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    schema = pa.schema([("n", pa.int64()), ("content", pa.binary())])
+    got = list(batches_of(((i, b"x" * 1_000_000 if i % 2 else None) for i in range(60)), schema))
+    assert max(b.nbytes for b in got) < BYTES + 1_100_000 and [n for b in got for n in b.column(0).to_pylist()] == list(range(60))
+    chunk = json.dumps({"moments": [moment(present=["Ada"])]})
+    payloads = spark.range(600).select(F.col("id").alias("graph_id"), F.lit(0).alias("chunk_index"), F.lit(chunk).alias("payload"))
+    files = stores.to_files(graphs.extracted(payloads))
+    assert files.agg(F.max(F.length("content"))).first()[0] < 32_000
+    rows = stores.of_files(files).rows().groupBy("tbl").count().collect()
+    assert {r["tbl"]: r["count"] for r in rows} == {"entities": 600, "moments": 600, "appearances": 600}
