@@ -84,7 +84,7 @@ def asked(g: Graphs, make: Callable, ask: Callable, texts: DataFrame | None = No
         ask(b, make(), text)
         return list(b.rows(key[0]))
 
-    rows = map_groups(ops.select("graph_id", "stage", "seq", "op"), ["graph_id"], ["stage", "seq"], solve, f"graph_id {dict(ops.dtypes)['graph_id']}, tbl string, {WIDE}")
+    rows = map_groups(ops.select("graph_id", "stage", "seq", "op"), ["graph_id"], ["stage", "seq", "op"], solve, f"graph_id {dict(ops.dtypes)['graph_id']}, tbl string, {WIDE}")
     return Graphs.from_rows(rows)
 
 

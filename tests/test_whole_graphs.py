@@ -262,3 +262,22 @@ def test_files_pass_in_batches_of_bounded_bytes(spark):
     assert files.agg(F.max(F.length("content"))).first()[0] < 32_000
     rows = stores.of_files(files).rows().groupBy("tbl").count().collect()
     assert {r["tbl"]: r["count"] for r in rows} == {"entities": 600, "moments": 600, "appearances": 600}
+
+
+def test_graphs_are_built_again_without_joins(spark):
+    reply = {
+        "entities": [{"name": "Ada", "type": "personnage", "aliases": ["zz", "A.", "m b"]}, {"name": "M. Bo", "type": "", "aliases": ["B.", "aa"]}, {"name": "Dover", "type": "lieu"}],
+        "moments": [moment(present=["Dover", "A."], facts=[{"entity": "Bo", "attribute": "age", "value": "8"}, {"relation": "knows", "source": "Ada", "target": "Bo", "attribute": "how", "value": "well"}], summary="s"), moment(kind="ellipse", value=10, unit="jours", present=["Bo"])],
+    }
+    payloads = spark.range(40).select(F.col("id").alias("graph_id"), F.lit(0).alias("chunk_index"), F.lit(json.dumps(reply)).alias("payload"))
+    g = graphs.extracted(payloads)
+    lost = Graphs(g.tables | {"appearances": g["appearances"].unionByName(spark.sql("select 1L graph_id, 1L moment_id, 77L entity_id"))})
+    for given in (g, lost):
+        ops = graphs.ops_of(given)
+        assert "Join" not in ops._jdf.queryExecution().optimizedPlan().toString()
+        again = graphs.fold(ops)
+        for t, columns in graphs.TABLES.items():
+            order = ["graph_id", *columns]
+            assert sorted(map(str, again[t].select(order).collect())) == sorted(map(str, g[t].select(order).collect())), t
+    first = json.loads(present.answered(g, present.export).first()["answer"])
+    assert [e["aliases"] for e in first["entities"]] == [["zz", "A.", "m b"], ["B.", "aa"], []] and first["relations"][0]["attributes"] == {"how": "well"}
