@@ -43,11 +43,12 @@ def confusion_pairs(rows: DataFrame, over: bool = True, hot: int = 4096) -> Data
     """Pairs a < b in one predicted cluster and different gold ones (over), or the other way round.
 
     The pairs are the result, so their number is what it is. Clusters of up to ``hot`` rows are shuffled once and joined
-    with themselves. A larger one is dealt to parts x parts cells, a row to one line and one column of them, so that its
-    pairs come from many tasks; with parts of ``hot`` rows the copies stay few beside the pairs that are compared.
+    with themselves. A larger one is dealt to blocks of about ``hot`` rows, and each two blocks meet in a cell, so that its
+    pairs come from many tasks. A label of over ``hot`` rows has blocks of its own, which do not meet each other: rows are
+    copied only to cells that hold pairs, and the copies stay few beside these.
     """
     same, other = ("pred", "gold") if over else ("gold", "pred")
-    rows = rows.where("pred is not null and gold is not null").select("key", F.col(same).alias("s"), F.col(other).alias("o"))
+    rows = rows.where("key is not null and pred is not null and gold is not null").select("key", F.col(same).alias("s"), F.col(other).alias("o"))
     # Counted by a short hash: where two clusters share one, both may count as large, which is as right.
     h = F.hash("s").alias("h")
     large = F.broadcast(rows.groupBy(h).agg(F.count("*").alias("n")).where(F.col("n") > hot))  # at most one in ``hot`` rows
@@ -55,12 +56,22 @@ def confusion_pairs(rows: DataFrame, over: bool = True, hot: int = 4096) -> Data
     small = rows.join(large, F.hash("s") == F.col("h"), "left_anti")
     near = small.alias("x").join(small.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.o") != F.col("y.o"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
 
-    dealt = rows.join(large, F.hash("s") == F.col("h")).withColumn("parts", F.ceil(F.col("n") / hot).cast("int"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    a = dealt.select(F.col("key").alias("a"), "s", F.col("o").alias("oa"), F.col("part").alias("line"), every.alias("column"))
-    b = dealt.select(F.col("key").alias("b"), "s", F.col("o").alias("ob"), F.col("part").alias("column"), every.alias("line"))
-    return near.unionByName(a.join(b, ["s", "line", "column"]).where("a < b and oa <> ob").select("a", "b"))
+    dealt = rows.join(large, F.hash("s") == F.col("h"))
+    count = lambda n: F.ceil(n / hot).cast("int")
+    # Large labels by their own values, as two of one hash would not meet; again at most one in ``hot`` rows.
+    own = dealt.groupBy("h", "s", "o").agg(F.count("*").alias("m")).where(F.col("m") > hot).withColumn("parts", count(F.col("m")))
+    taken = own.groupBy("h").agg(F.sum("parts").cast("int").alias("taken"), F.sum("m").alias("m"))
+    first = (F.sum("parts").over(Window.partitionBy("h").orderBy("s", "o")) - F.col("parts")).cast("int").alias("first")
+    dealt = dealt.join(F.broadcast(own.select("s", "o", "parts", first)), ["s", "o"], "left").join(F.broadcast(taken), "h", "left").na.fill(0, ["taken", "m"])
+    mixed = count(F.col("n") - F.col("m"))
+    place = lambda value, n: F.pmod(F.xxhash64(value), F.greatest(n, F.lit(1))).cast("int")
+    block = F.coalesce(F.col("first") + place("key", F.col("parts")), F.col("taken") + place("o", mixed))
+    dealt = dealt.select("key", "s", "o", "first", "parts", block.alias("block"), (F.col("taken") + mixed - 1).alias("last"))
+    after, upto = F.coalesce(F.col("first") + F.col("parts"), "block"), F.coalesce(F.col("first") - 1, "block")
+    x = dealt.where(after <= F.col("last")).select(F.col("key").alias("x"), "s", F.col("o").alias("ox"), F.col("block").alias("line"), F.explode(F.sequence(after, "last")).alias("column"))
+    y = dealt.where(upto >= 0).select(F.col("key").alias("y"), "s", F.col("o").alias("oy"), F.col("block").alias("column"), F.explode(F.sequence(F.lit(0), upto)).alias("line"))
+    far = x.join(y, ["s", "line", "column"]).where("ox <> oy and (x < y or line < column and x > y)")
+    return near.unionByName(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def precision_recall(predicted: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:

@@ -509,7 +509,7 @@ def q_lea(spark, d):
 
 def _orders_partition(spark, d):
     li = table(spark, d, "lineitem")
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_orderkey").cast("string").alias("o"), F.concat_ws("/", "l_orderkey", "l_returnflag").alias("f"))
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_orderkey").cast("string").alias("o"), F.concat("l_orderkey", F.lit("/"), "l_returnflag").alias("f"))
 
 
 _PAIRS = "WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_orderkey AS o, l_returnflag AS f FROM lineitem) SELECT a.key AS a, b.key AS b FROM x a JOIN x b ON a.o = b.o AND a.key < b.key AND a.f <> b.f"

@@ -125,6 +125,32 @@ def test_spans_that_repeat_stay_in_their_island(spark):
     assert sorted(map(tuple, metrics.interval_merge(df, "key").select("key", "start", "stop").collect())) == sorted(want)
 
 
+def test_pairs_of_a_large_cluster_with_one_large_label(spark):
+    found = [(i, "c", "main" if i % 400 else f"odd{i}") for i in range(4000)]
+    df = spark.createDataFrame(found, "key long, gold string, pred string")
+    pairs = metrics.confusion_pairs(df, over=False, hot=100)
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, j) for i in range(4000) for j in range(i + 1, 4000) if not (i % 400 and j % 400))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert shuffled(spark, pairs) < 3 * 4000  # it was 80 for each row
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_merged_pairs_with_nulls_and_repeated_keys(spark, tmp_path):
+    """Against the SQL: flags, orders and line numbers may be null, keys may repeat, one order is large."""
+    rng = random.Random(7)
+    some = lambda x: None if rng.random() < 0.1 else x
+    lines = [(some(1 if i < 300 else rng.randrange(2, 60)), some(rng.randrange(1, 400)), some(rng.choice("ANR"))) for i in range(700)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("q_under_merged", "q_over_merged"):
+        want = sorted(con.execute(plans.oracle_sql()[name]).fetchall())
+        assert want and rows(plans.queries()[name](spark, str(tmp_path))) == sorted(want, key=repr)
+
+
 def test_keyword_in_context(spark):
     df = spark.createDataFrame([(1, "aaaa b AA"), (2, "none")], "doc_id int, text string")
     assert rows(metrics.kwic(df, "aa", 1)) == [(1, 0, 5, "aaaa "), (1, 6, 9, " AA")]
